@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, url_filter
+from . import bpe, line_dedup, pii, url_filter
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op8_pii": pii.op8_pii,
     "op9_url_filters": url_filter.op9_url_filters,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 
