@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, lm_scoring, mixing, pii, toxicity, url_filter, vector_dedup, vector_search
+from . import bpe, line_dedup, lm_scoring, mixing, pii, set_join, toxicity, url_filter, vector_dedup, vector_search
 
 QUERIES = {
     "op1_embedding_dedup": vector_dedup.op1_embedding_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
+    "op4_ngram_jaccard_join": set_join.op4_ngram_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op6_nearest_neighbours": vector_search.op6_nearest_neighbours,
     "op7_toxicity": toxicity.op7_toxicity,
