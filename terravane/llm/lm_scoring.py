@@ -53,33 +53,43 @@ class Block:
         if parts:
             self.before[self.first] = START
         self.training = training
-        self.uni, self.bi = unigram_key(self.h), bigram_key(self.before, self.h)
-        self.context = unigram_key(self.before)
-
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys and their counts in this block's training texts. START counts once a training text."""
+        start = np.array([START])
+        n = len(self.h)
+        keys = np.concatenate([unigram_key(self.h), bigram_key(self.before, self.h), unigram_key(start)]) if n else unigram_key(start)
+        # Sorted distinct keys; where each token's symbol, its pair and its context stand among them.
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.uni, self.bi, self.start = at[:n], at[n : 2 * n], at[-1]
+        self.context = np.concatenate([at[:1], self.uni[:-1]]) if n else self.uni
+        self.context[self.first] = self.start
+
+    def counts(self) -> np.ndarray:
+        """Counts of the keys in this block's training texts. The start counts once a training text."""
         own = np.repeat(self.training, self.n)
-        start = unigram_key(np.array([START]))
-        keys = np.concatenate([self.uni, self.bi, start]) if len(self.h) else start
-        add = np.concatenate([own, own, [0]]).astype(np.int64)
-        keys, inverse = np.unique(keys, return_inverse=True)
-        count = np.bincount(inverse, weights=add, minlength=len(keys)).astype(np.int64)
-        count[np.searchsorted(keys, start[0])] += int(self.training.sum())
-        return keys, count
+        count = np.bincount(self.uni[own], minlength=len(self.keys)) + np.bincount(self.bi[own], minlength=len(self.keys))
+        count[self.start] += int(self.training.sum())
+        return count
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane: the upper planes are nearly empty and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 class BackoffAutomaton:
     """States, arcs and failure arcs over the n-grams of a block, from global counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, types: int, mu: float = MU):
-        self.keys, self.counts, self.total, self.types, self.mu = keys, counts, total, types, mu
-
-    def count(self, k: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.keys, k)]
+    def __init__(self, counts: np.ndarray, total: int, types: int, mu: float = MU):
+        """counts: global counts of the block's keys, in their order."""
+        self.counts, self.total, self.types, self.mu = counts, total, types, mu
 
     def walk(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text of the block: known tokens, base score, score. One pass from left to right over all tokens."""
-        c, pair, context = self.count(b.uni), self.count(b.bi), self.count(b.context)
+        c, pair, context = self.counts[b.uni], self.counts[b.bi], self.counts[b.context]
         root = np.log10((c + 1.0) / (self.total + self.types + 1.0))
         seen = pair > 0
         arc = np.log10((pair + self.mu * (c + 1.0) / (self.total + self.types + 1.0)) / (context + self.mu))
@@ -101,14 +111,15 @@ def _totals(blocks: DataFrame, ranges: int) -> tuple[int, int]:
         for batch in batches:
             texts = [t for t, h in zip(batch.column("_text").to_pylist(), batch.column("_held").to_pylist()) if not h]
             for k in range(0, len(texts), 2000):
-                b = Block(texts[k : k + 2000], np.ones(len(texts[k : k + 2000]), dtype=bool), memo)
-                keys, count = np.unique(b.uni, return_counts=True)
+                parts = [memo.of(words(t)) for t in texts[k : k + 2000]]
+                ends = np.full(len(parts), END)
+                keys, count = np.unique(unigram_key(np.concatenate([*parts, ends])), return_counts=True)
                 cut = np.searchsorted(keys, _borders(ranges))
-                rows = [(r, keys[a:z].tobytes(), int(count[a:z].sum())) for r, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
+                rows = [(r, pack_keys(keys[a:z]), int(count[a:z].sum())) for r, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["rng", "keys", "n"])
 
     def distinct(t: pa.Table) -> pa.Table:
-        keys = np.unique(np.frombuffer(b"".join(t["keys"].to_pylist()), dtype=np.uint64))
+        keys = np.unique(np.concatenate([unpack_keys(k) for k in t["keys"].to_pylist()]))
         return pa.table({"n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "v": pa.array([len(keys)], pa.int64())})
 
     parts = blocks.select("_text", "_held").mapInArrow(local, "rng int, keys binary, n long")
@@ -140,14 +151,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def ask(t: pa.Table) -> pa.Table:
         b = Block(t["_text"].to_pylist(), ~np.array(t["_held"].to_pylist(), dtype=bool), WordHash())
-        keys, count = b.asked()
+        keys, count = b.keys, b.counts()
         cut = np.searchsorted(keys, _borders(ranges))
         cut[-1] = len(keys)
         rows = [(r, a, z) for r, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
-        return pa.table({"rng": pa.array([r[0] for r in rows], pa.int32()), "blk": pa.array([t["_blk"][0].as_py()] * len(rows), pa.int32()), "keys": pa.array([keys[a:z].tobytes() for _, a, z in rows], pa.binary()), "n": pa.array([count[a:z].astype(np.int32).tobytes() for _, a, z in rows], pa.binary())})
+        return pa.table({"rng": pa.array([r[0] for r in rows], pa.int32()), "blk": pa.array([t["_blk"][0].as_py()] * len(rows), pa.int32()), "keys": pa.array([pack_keys(keys[a:z]) for _, a, z in rows], pa.binary()), "n": pa.array([count[a:z].astype(np.int32).tobytes() for _, a, z in rows], pa.binary())})
 
     def answer(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, dtype=np.uint64) for k in t["keys"].to_pylist()]
+        keys = [unpack_keys(k) for k in t["keys"].to_pylist()]
         n = np.concatenate([np.frombuffer(k, dtype=np.int32) for k in t["n"].to_pylist()]).astype(np.int64)
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(inverse, weights=n)[inverse].astype(np.int64)
@@ -156,11 +167,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(t: pa.Table, got: pa.Table) -> pa.Table:
         b = Block(t["_text"].to_pylist(), ~np.array(t["_held"].to_pylist(), dtype=bool), WordHash())
-        keys, _ = b.asked()
         order = np.argsort(got["rng"].to_numpy())
         n, wide = got["n"].to_pylist(), got["wide"].to_pylist()
         counts = np.concatenate([np.frombuffer(n[i], dtype=np.int64 if wide[i] else np.int32).astype(np.int64) for i in order])
-        known, base, full = BackoffAutomaton(keys, counts, total, types, mu).walk(b)
+        known, base, full = BackoffAutomaton(counts, total, types, mu).walk(b)
         return pa.table({"_id": t["_id"], "held_out": t["_held"], "n_tokens": pa.array(b.n), "n_known": pa.array(known), "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
 
     replies = blocks.groupBy("_blk").applyInArrow(ask, "rng int, blk int, keys binary, n binary").groupBy("rng").applyInArrow(answer, "_blk int, rng int, n binary, wide boolean")

@@ -86,13 +86,18 @@ def plan_shards(slots: list[int], seed: int = SEED) -> tuple[int, list[tuple[int
     return size, rows
 
 
+def row_key(id_col: str, text_col: str, source_col: str):
+    """128 bits that tell a row by id, source and text."""
+    return F.xxhash64(id_col, source_col, text_col).alias("th"), F.xxhash64(F.lit(1), text_col, source_col, id_col).alias("th2")
+
+
 class Mix:
     """The parts of a mix. sized: one row a document (_row columns below); pieces: the output, in slots."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED):
         spark = docs.sparkSession
         ship(spark)
-        d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+        d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *row_key(id_col, text_col, source_col))
         # Rows numbered by range of (source, id); the range is frozen with the table.
         d = d.repartitionByRange("source", "id", "th").withColumn("part", F.spark_partition_id())
         d = durable(d)
@@ -109,7 +114,7 @@ class Mix:
         d = d.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
         # one row a source, made on the driver from as many
         d = d.join(F.broadcast(plan_src), F.col("source").eqNullSafe(F.col("_name")))
-        self.sized = d.select("id", "source", "th", "size", "src", "source_size", "target", "width", (F.col("base") + F.col("upto") - F.col("size")).alias("at"))
+        self.sized = d.select("id", "source", "th", "th2", "size", "src", "source_size", "target", "width", (F.col("base") + F.col("upto") - F.col("size")).alias("at"))
         blocks_of = [(-(-n // width) if n else 0) for _, _, n, _, width in self.sources]
         slots = [min(int(cap * b), round(t * b / n)) if n else 0 for (_, _, n, t, _), b in zip(self.sources, blocks_of)]
         self.shard_size, rows = plan_shards(slots, seed)
@@ -161,16 +166,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs after the mix: each text is made of the words the mix takes of it, epoch by epoch, in the order of the text.
 
     A text taken whole once is unchanged; taken whole twice it stands twice, parted by a line end. A document of which
-    nothing is taken goes, except one that has no words: the mix has no say over it. The character count is renewed.
+    nothing is taken goes, except one that has no words: the mix has no say over it. The character count is renewed. Rows
+    alike in id, source and text are given the same words.
     """
     m = Mix(docs, id_col, text_col, source_col)
     p = m.pieces().groupBy("src", "at").agg(F.collect_list(F.struct("epoch", "first", "n")).alias("_pieces")).withColumnsRenamed({"src": "_src", "at": "_at"})
     keyed = m.sized.join(p, (F.col("src") == F.col("_src")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left").where("size = 0 OR _pieces IS NOT NULL")
-    twin = Window.partitionBy("id", "source", "th").orderBy("at")
-    keyed = keyed.withColumn("_twin", F.row_number().over(twin)).select(F.col("id").alias("_kid"), F.col("source").alias("_ks"), F.col("th").alias("_kth"), F.col("_twin").alias("_kt"), "size", "_pieces")
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    d = docs.withColumn("_th", th).withColumn("_t", F.row_number().over(Window.partitionBy(id_col, source_col, "_th").orderBy(F.lit(1))))
-    j = d.join(keyed, F.col(id_col).eqNullSafe(F.col("_kid")) & F.col(source_col).eqNullSafe(F.col("_ks")) & (F.col("_th") == F.col("_kth")) & (F.col("_t") == F.col("_kt")))
+    keyed = keyed.groupBy(F.col("th").alias("_k1"), F.col("th2").alias("_k2")).agg(F.min("size").alias("_size"), F.min_by("_pieces", "at").alias("_pieces"))
+    th, th2 = row_key(id_col, text_col, source_col)
+    d = docs.withColumns({"_t1": th, "_t2": th2})
+    j = d.join(keyed, (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")))
     cols, at = docs.columns, docs.columns.index(text_col)
     ship(docs.sparkSession)
 
@@ -182,7 +187,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         word = re.compile("[^ \t\n\x0b\f\r]+")
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, (size, pieces) in enumerate(zip(b.column("size").to_pylist(), b.column("_pieces").to_pylist())):
+            for i, (size, pieces) in enumerate(zip(b.column("_size").to_pylist(), b.column("_pieces").to_pylist())):
                 if not size:
                     continue
                 starts = [x.start() for x in word.finditer(texts[i])] + [len(texts[i])]
@@ -197,7 +202,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 arrays[cols.index(count_col)] = pa.array([len(t or "") for t in texts], b.column(cols.index(count_col)).type)
             yield pa.RecordBatch.from_arrays(arrays, names=cols)
 
-    return j.select(*[F.col(f"`{c}`") for c in cols], "size", "_pieces").mapInArrow(rebuild, docs.schema)
+    return j.select(*[F.col(f"`{c}`") for c in cols], "_size", "_pieces").mapInArrow(rebuild, docs.schema)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
