@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -68,3 +69,9 @@ def release(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles no plan needs any more, so that their files go before the next phase."""
+    gc.collect()
+    spark._jvm.System.gc()
