@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, ship
+from ..session import durable, release, ship, tidy
 from .common import WordHash, mix64, words
 from .components import components
 
@@ -96,6 +96,18 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def pack_set(s: np.ndarray) -> bytes:
+    """A sorted set as the differences of its upper 40 bits, byte plane by byte plane: about four bytes an element. Two
+    elements of a pair of sets fall together by chance once in 2 ** 40."""
+    return np.diff(s >> np.uint64(24), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def unpack_set(b: bytes) -> np.ndarray:
+    planes = np.zeros((len(b) // 5, 8), dtype=np.uint8)
+    planes[:, :5] = np.frombuffer(b, np.uint8).reshape(5, -1).T
+    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * intersection >= 75 * union, in whole numbers."""
     both = np.concatenate([a, b])
@@ -224,19 +236,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 s = shingles(t, memo)
                 if len(s) and node_of(s) == n:  # rows may share an id
                     node.append(n)
-                    packed.append(s.tobytes())
+                    packed.append(pack_set(s))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["node", "s"])
 
-    packed = durable(texts.mapInArrow(pack, "node long, s binary").dropDuplicates(["node"]))
+    packed = durable(texts.mapInArrow(pack, "node long, s binary"))
     j = pairs.join(packed.select(F.col("node").alias("_a"), F.col("s").alias("sa")), F.col("u") == F.col("_a")).drop("_a")
     j = j.join(packed.select(F.col("node").alias("_b"), F.col("s").alias("sb")), F.col("v") == F.col("_b")).drop("_b")
 
     def check(batches):
         for b in batches:
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = [similar(unpack_set(x), unpack_set(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return j.select("u", "v", "sa", "sb").mapInArrow(check, "u long, v long")
+    out = durable(j.select("u", "v", "sa", "sb").mapInArrow(check, "u long, v long"))
+    release(packed)
+    tidy(docs.sparkSession)
+    return out
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,8 +269,9 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     total = sets.agg(F.sum("size")).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 9 // 10 // PER_RANGE))
     met = durable(_published(docs, ranges).groupBy("rng").applyInArrow(_met, "list long, u long, v long"))
+    tidy(spark)
     stars = durable(met.where("list IS NULL").select("u", "v").distinct())
-    links = durable(_verified(stars, docs, sets))
+    links = _verified(stars, docs, sets)
     comp = durable(components(links))
     lists = met.where("list IS NOT NULL").select("list", "u", F.col("v").alias("size"))
     named = lists.join(comp, F.col("u") == F.col("id"), "left").select("list", "u", "size", F.coalesce("component", "u").alias("c"))
