@@ -71,13 +71,11 @@ class Block:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane: the upper planes are nearly empty and compress away."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return keys.tobytes()
 
 
 def unpack_keys(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.frombuffer(b, np.uint64)
 
 
 class BackoffAutomaton:
