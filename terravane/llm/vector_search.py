@@ -7,8 +7,10 @@ hypothesis test (is the estimate beyond the query's 20th best by more than its d
 only what is left is scored, exactly, on the original vectors.
 
 The centroids are fitted on a bounded sample (SAMPLE rows, the smallest by hash), on which brute force also tells how
-many lists must be probed for RECALL. Every row is indexed. Lists and their queries are cut into tiles, so a list with a
-third of all rows is many cells; no list is capped.
+many lists must be probed for RECALL. Every row is indexed. Queries with near lists form tiles, and the lists that a
+tile probes are scanned nearest first, so later lists meet tight thresholds. Rows are dealt by hash into groups of about
+ROW_TILE and lists with many queries over several tiles, so a list with a third of all rows is many cells; none is
+capped.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from ..session import durable, ship
 from .vector_dedup import valid
 
 SAMPLE, PER_LIST, MAX_LISTS, RECALL = 16_384, 400, 1024, 0.985
-BLOCK, EPSILON, ROW_TILE, QUERY_TILE, SEED = 16, 2.1, 4096, 1024, 99
+BLOCK, EPSILON, ROW_TILE, QUERY_TILE, CHUNK, SEED = 16, 2.1, 32_768, 256, 512, 99
 
 
 def _packed(col) -> np.ndarray:
@@ -73,52 +75,61 @@ def probes_for(x: np.ndarray, longest: float, c: np.ndarray, k: int, recall: flo
 
 
 def scan(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, longest: float, rotation: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of a cell's rows for each of its queries; pairs are abandoned by the test, block by block."""
+    """The k best of a cell's rows for each of its queries, rows taken in the order given. Pairs are abandoned by the
+    test, block by block; while most pairs of a chunk are alive a block is one product, after that only theirs."""
     dim = rotation.shape[0]
     ry, rq = augment(x, longest) @ rotation, np.concatenate([q, np.zeros((len(q), 1))], axis=1) @ rotation
-    blocks = [np.ascontiguousarray(ry[:, a : a + BLOCK]) for a in range(0, dim, BLOCK)]
+    bounds = [(a, min(dim, a + BLOCK)) for a in range(0, dim, BLOCK)]
+    if len(bounds) > 1 and bounds[-1][1] - bounds[-1][0] < BLOCK // 2:  # a short rest joins the block before it
+        bounds[-2:] = [(bounds[-2][0], dim)]
+    blocks = [np.ascontiguousarray(ry[:, a:b]) for a, b in bounds]
     squares = [(b * b).sum(axis=1) for b in blocks]
     best_s = np.full((len(q), k), -np.inf)
     best_i = np.full((len(q), k), np.iinfo(np.int64).max)
     norm = (q * q).sum(axis=1) + longest**2  # distance**2 = norm - 2 * inner product
+    slack = 1e-9 * norm
 
-    def offer(rows: np.ndarray, pq: np.ndarray, px: np.ndarray, s: np.ndarray):
+    def offer(pq: np.ndarray, px: np.ndarray, s: np.ndarray):
         """Take pairs (sorted by query) into the best of each query."""
         if not len(pq):
             return
-        n = np.bincount(pq, minlength=len(q))
-        width = int(n.max())
+        rows, n = np.unique(pq, return_counts=True)
         at = np.arange(len(pq)) - np.repeat(np.cumsum(n) - n, n)
-        cs, ci = np.full((len(q), width), -np.inf), np.full((len(q), width), np.iinfo(np.int64).max)
-        cs[pq, at], ci[pq, at] = s, xi[px]
-        cs, ci = np.concatenate([best_s, cs], axis=1), np.concatenate([best_i, ci], axis=1)
+        place = np.repeat(np.arange(len(rows)), n)
+        cs, ci = np.full((len(rows), int(n.max())), -np.inf), np.full((len(rows), int(n.max())), np.iinfo(np.int64).max)
+        cs[place, at], ci[place, at] = s, xi[px]
+        cs, ci = np.concatenate([best_s[rows], cs], axis=1), np.concatenate([best_i[rows], ci], axis=1)
         order = np.lexsort((ci, -cs), axis=1)[:, :k]
-        best_s[:], best_i[:] = np.take_along_axis(cs, order, 1), np.take_along_axis(ci, order, 1)
+        best_s[rows], best_i[rows] = np.take_along_axis(cs, order, 1), np.take_along_axis(ci, order, 1)
 
-    chunk = 512
-    for a in range(0, len(x), chunk):
-        rows = np.arange(a, min(len(x), a + chunk))
+    for a in range(0, len(x), CHUNK):
+        rows = np.arange(a, min(len(x), a + CHUNK))
         kth = best_s[:, -1]
-        limit = np.where(np.isfinite(kth), np.maximum(norm - 2 * kth, 0.0), np.inf)
-        d = min(BLOCK, dim)
-        part = (rq[:, :d] ** 2).sum(axis=1)[:, None] + squares[0][rows][None, :] - 2 * rq[:, :d] @ blocks[0][rows].T
-        alive = part * (dim / d) <= ((1 + EPSILON / np.sqrt(d)) ** 2 * limit)[:, None]
-        alive &= qi[:, None] != xi[rows][None, :]
-        pq, px = np.nonzero(alive)
+        limit = np.where(np.isfinite(kth), np.maximum(norm - 2 * kth, 0.0) + slack, np.inf)
+        part = np.zeros((len(q), len(rows)))
+        pq = px = pairs = None
+        for (lo, hi), block, square in zip(bounds, blocks, squares):
+            own = rq[:, lo:hi]
+            test = limit * ((1 + EPSILON / np.sqrt(hi)) ** 2 * hi / dim if hi < dim else 1.0)
+            if pq is None:
+                part += (own * own).sum(axis=1)[:, None] + square[rows][None, :] - 2 * own @ block[rows].T
+                alive = part <= test[:, None]
+                if alive.mean() < 0.2:
+                    pq, px = np.nonzero(alive)
+                    pairs = part[pq, px]
+            else:
+                diff = own[pq] - block[rows[px]]
+                pairs = pairs + np.einsum("ij,ij->i", diff, diff)
+                stay = pairs <= test[pq]
+                pq, px, pairs = pq[stay], px[stay], pairs[stay]
+        if pq is None:
+            pq, px = np.nonzero(alive)
         px = rows[px]
-        part = part[pq, px - a]
-        for b in range(1, len(blocks)):
-            if not np.isfinite(limit).any() or not len(pq):
-                break
-            lo, hi = b * BLOCK, min(dim, (b + 1) * BLOCK)
-            diff = rq[pq, lo:hi] - blocks[b][px]
-            part = part + (diff * diff).sum(axis=1)
-            if hi < dim:
-                stay = part * (dim / hi) <= (1 + EPSILON / np.sqrt(hi)) ** 2 * limit[pq]
-                pq, px, part = pq[stay], px[stay], part[stay]
+        other = qi[pq] != xi[px]
+        pq, px = pq[other], px[other]
         s = np.einsum("ij,ij->i", q[pq], x[px])
         stay = s >= kth[pq]
-        offer(rows, pq[stay], px[stay], s[stay])
+        offer(pq[stay], px[stay], s[stay])
     r, c = np.nonzero(np.isfinite(best_s))
     return pd.DataFrame({"query_id": qi[r], "vec_id": best_i[r, c], "score": best_s[r, c]})
 
@@ -157,28 +168,45 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col:
 
     rows = durable(v.select("id", "x", query.alias("q")).mapInPandas(index, "id long, list int, q boolean, x binary"))
 
+    # Queries of near lists go into one tile: lists in the order of their centroids along the main axis, cut into tiles
+    # of QUERY_TILE queries; a list with more is dealt over several by hash. One row a list (MAX_LISTS at most).
+    axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0] if lists > 1 else np.ones(c.shape[1])
+    asking = dict(rows.where("q").groupBy("list").count().collect())
+    tile_of, tile, room = [], 0, QUERY_TILE
+    for i in np.argsort(c @ axis, kind="stable").tolist():
+        m = asking.get(i, 0)
+        if m > room and room < QUERY_TILE:
+            tile, room = tile + 1, QUERY_TILE
+        parts = max(1, -(-m // QUERY_TILE))
+        tile_of.append((i, tile, parts))
+        if parts > 1:
+            tile, room = tile + parts, QUERY_TILE
+        else:
+            room -= m
+    deal = F.broadcast(spark.createDataFrame(tile_of, "list int, tile int, parts int"))
+    queries = rows.where("q").join(deal, "list").withColumn("tile", (F.col("tile") + F.pmod(F.xxhash64("id", "x"), F.col("parts"))).cast("int")).select("id", "x", "tile")
+
     def probe(frames):
         for f in frames:
             x = _packed(f["x"]) if len(f) else np.zeros((0, dims["d"]))
             near = nearest(np.concatenate([x, np.zeros((len(x), 1))], axis=1), c, probes)
-            yield pd.DataFrame({"id": np.repeat(f["id"].to_numpy(), near.shape[1]), "list": near.ravel().astype("int32"), "x": np.repeat(f["x"].to_numpy(), near.shape[1])})
+            d = pd.DataFrame({"tile": np.repeat(f["tile"].to_numpy(), near.shape[1]), "list": near.ravel().astype("int32"), "place": np.tile(np.arange(near.shape[1], dtype=np.int32), len(x))})
+            yield d.groupby(["tile", "list"], as_index=False)["place"].min()
 
-    asked = rows.where("q").select("id", "x").mapInPandas(probe, "id long, list int, x binary")
-    sizes = rows.groupBy("list").count().withColumn("rt", F.ceil(F.col("count") / ROW_TILE).cast("int"))
-    # as many rows as there are lists, MAX_LISTS at most
-    want = asked.groupBy("list").count().withColumn("qt", F.ceil(F.col("count") / QUERY_TILE).cast("int"))
-    tiles = sizes.select("list", "rt").join(want.select("list", "qt"), "list")
-    tiles = F.broadcast(spark.createDataFrame(tiles.collect(), "list int, rt int, qt int"))
-    left = rows.join(tiles, "list").withColumn("r", F.pmod(F.xxhash64("id", "x"), F.col("rt")).cast("int")).select("id", "x", "list", "r", F.explode(F.sequence(F.lit(0), F.col("qt") - 1)).alias("c"))
-    right = asked.join(tiles, "list").withColumn("c", F.pmod(F.xxhash64("id", "x"), F.col("qt")).cast("int")).select("id", "x", "list", "c", F.explode(F.sequence(F.lit(0), F.col("rt") - 1)).alias("r"))
+    # Which lists a tile's queries probe, and how early. All of a tile's queries then scan all of its lists.
+    wanted = queries.mapInPandas(probe, "tile int, list int, place int").groupBy("tile", "list").agg(F.min("place").alias("place"))
+    groups = max(1, -(-n // ROW_TILE))
+    rowside = rows.select("id", "x", "list", F.pmod(F.xxhash64("id", "x"), F.lit(groups)).cast("int").alias("g"))
+    left = rowside.join(wanted, "list").select("id", "x", "tile", "g", "place")
+    right = queries.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("tile").alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qg"))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return scan(b["id"].to_numpy(), _packed(b["x"]), a["id"].to_numpy(), _packed(a["x"]), longest, rotation, k)
+        a = a.sort_values(["place", "id"], kind="stable")
+        return scan(b["qid"].to_numpy(), _packed(b["qx"]), a["id"].to_numpy(), _packed(a["x"]), longest, rotation, k)
 
-    key = ["list", "r", "c"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(cell, "query_id long, vec_id long, score double")
+    found = left.groupBy("tile", "g").cogroup(right.groupBy("qt", "qg")).applyInPandas(cell, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
