@@ -46,6 +46,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranged = d.select("h1", "h2", "_d", "pos").repartitionByRange("h1", "h2", "_d")
     first = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("h1", "h2", "_d").orderBy("pos"))).where("_rn = 1")
     heads = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("_d").alias("keeper")).where(F.col("docs") >= min_docs)
+    heads = durable(heads)  # a plain table on this side: a line in very many documents is then split by the join
     dropped = d.join(heads, ["h1", "h2"]).where(~F.col("_d").eqNullSafe(F.col("keeper")))
     per_doc = dropped.groupBy("_d", "t1", "t2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     return per_doc.select(F.col("_d").alias(id_col), "t1", "t2", "gone")
