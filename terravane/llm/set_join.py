@@ -240,6 +240,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["node", "s"])
 
     packed = durable(texts.mapInArrow(pack, "node long, s binary"))
+    tidy(docs.sparkSession)
     j = pairs.join(packed.select(F.col("node").alias("_a"), F.col("s").alias("sa")), F.col("u") == F.col("_a")).drop("_a")
     j = j.join(packed.select(F.col("node").alias("_b"), F.col("s").alias("sb")), F.col("v") == F.col("_b")).drop("_b")
 
@@ -270,16 +271,23 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 9 // 10 // PER_RANGE))
     met = durable(_published(docs, ranges).groupBy("rng").applyInArrow(_met, "list long, u long, v long"))
     tidy(spark)
-    stars = durable(met.where("list IS NULL").select("u", "v").distinct())
-    links = _verified(stars, docs, sets)
+    stars = durable(met.where("list IS NULL").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")))
+    # First each node with the leader it meets most often; that connects most of a group of near copies.
+    first = durable(stars.groupBy("v").agg(F.max(F.struct("n", "u")).alias("m")).select("m.u", "v"))
+    links = _verified(first, docs, sets)
     comp = durable(components(links))
+    # Then every pair that shares a signature and is not yet connected.
+    name = comp.select(F.col("id").alias("_id"), "component")
     lists = met.where("list IS NOT NULL").select("list", "u", F.col("v").alias("size"))
-    named = lists.join(comp, F.col("u") == F.col("id"), "left").select("list", "u", "size", F.coalesce("component", "u").alias("c"))
+    named = lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "size", F.coalesce("component", "u").alias("c"))
     mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("list").alias("_l")))
     named = durable(named.join(mixed, F.col("list") == F.col("_l"), "left_semi").distinct())
     other = named.select("list", F.col("u").alias("v"), F.col("size").alias("vs"), F.col("c").alias("vc"))
-    more = named.join(other, "list").where("c <> vc AND u < v AND 4 * size >= 3 * vs AND 4 * vs >= 3 * size").select("u", "v").distinct()
-    more = durable(more.join(stars, ["u", "v"], "left_anti"))
+    more = named.join(other, "list").where("c <> vc AND u < v AND 4 * size >= 3 * vs AND 4 * vs >= 3 * size").select("u", "v")
+    ends = stars.join(name, F.col("u") == F.col("_id"), "left").select("u", "v", F.coalesce("component", "u").alias("uc"))
+    ends = ends.join(name, F.col("v") == F.col("_id"), "left").where(F.col("uc") != F.coalesce("component", "v")).select("u", "v")
+    more = durable(more.unionByName(ends).distinct().join(first, ["u", "v"], "left_anti"))
+    tidy(spark)
     if not more.isEmpty():
         links = durable(links.unionByName(_verified(more, docs, sets)))
         comp = durable(components(links))
