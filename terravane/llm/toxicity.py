@@ -32,7 +32,7 @@ EDGE, GAP = 31, -1
 #: Characters that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 @lru_cache(maxsize=1)
@@ -76,8 +76,8 @@ def _windows(units: list[str]):
     for n in np.unique(size):
         if n >= 3:
             rows = np.flatnonzero(size == n)
-            for k in range(0, len(rows), 8192):
-                r = rows[k : k + 8192]
+            for k in range(0, len(rows), 2048):
+                r = rows[k : k + 2048]
                 yield index[r], sym[first[r][:, None] + np.arange(n)]
 
 
@@ -241,8 +241,8 @@ def scorer(model: Model):
     def scores(texts: list[str | None]) -> list[float]:
         nonlocal memo
         out = []
-        for k in range(0, len(texts), 500):
-            bags = [set(units_of(t)) for t in texts[k : k + 500]]
+        for k in range(0, len(texts), 200):
+            bags = [set(units_of(t)) for t in texts[k : k + 200]]
             new = list(set().union(*bags).difference(memo)) if bags else []
             if len(memo) + len(new) > CACHE:
                 memo = {}
