@@ -52,3 +52,38 @@ class WordHash(dict):
 
     def of(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_R = 0x9E3779B97F4A7C15 | 1
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """r ** i and r ** -i modulo 2 ** 64, for i below n at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 14, 1 << (n - 1).bit_length())
+        out = []
+        for r in (_R, pow(_R, -1, 1 << 64)):
+            x = np.full(size, r, dtype=np.uint64)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+        _POWERS[:] = out
+    return _POWERS[0], _POWERS[1]
+
+
+def hash_words(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word of the text, A-Z lower-cased, computed over the bytes of all words at once."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    if not raw:
+        return np.zeros(0, dtype=np.uint64)
+    b = np.frombuffer(raw, dtype=np.uint8)
+    space = _SPACE[b]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers(len(b) + 1)
+    h = np.zeros(len(b) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=h[1:])
+        return mix64((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64))

@@ -14,19 +14,20 @@ segments, or both publish the neighbourhoods. So no link is lost; candidates are
 
 Equal sets are one node from the start. Signatures travel packed: a chunk of documents sends each range of the
 signatures one sorted array. What components need is connectivity, so a signature shared by many nodes first gives a
-star; after the star's pairs are verified, only pairs whose nodes are in different components are still verified. A
-group of thousands of near copies thus costs about its size, not its square.
+star; after one pair of each node is verified, only pairs whose nodes are in different components are still verified. A
+group of thousands of near copies thus costs about its size, not its square. And a set leaves out its commonest
+signatures as long as those left are more than H, so passages that very many documents share make few candidates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, release, ship, tidy
-from .common import WordHash, mix64, words
+from .common import hash_words, mix64
 from .components import components
 
 N, CHUNK = 5, 2000
@@ -38,12 +39,11 @@ while BANDS[-1] < 1 << 40:
 _BANDS = np.array(BANDS)
 
 
-def shingles(text: str | None, memo: WordHash) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles; with fewer words the whole sequence; without words, none."""
-    h = memo.of(words(text))
+    h = hash_words(text)
     if not len(h):
         return h
-    h = mix64(h)
     n = min(N, len(h))
     k = np.uint64(0x9FB21C651E98DF25)
     out = np.full(len(h) - n + 1, np.uint64(n))
@@ -66,34 +66,37 @@ def segments(k: int) -> int:
     return h + 1 + -(-h // 4)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a set (64 bits each)."""
+def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """All signatures of a set (64 bits each), the role of each (0 where the set is of the scheme's own band, 1 where of
+    the band above), and the slack of each role: how many of its non-empty segments the set can do without."""
     n = len(s)
     if n < 3:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), [0, 0]
     band = int(np.searchsorted(_BANDS, n, side="right")) - 1
-    mixed = mix64(s)
-    out = []
-    for k in (band, band - 1):
+    mixed, top = mix64(s), s >> np.uint64(32)
+    out, roles, slack = [], [], [0, 0]
+    for role, k in enumerate((band, band - 1)):
         if k < 0:
             continue
-        m, h = segments(k), n // 3 if k == band else (n + BANDS[k + 1] - 1) // 7
+        m, h = segments(k), n // 3 if role == 0 else (n + BANDS[k + 1] - 1) // 7
         tag = np.uint64(((k + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
         with np.errstate(over="ignore"):
-            seg = (((s ^ tag) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)).astype(np.int64) % m
-            order = np.argsort(seg, kind="stable")
-            seg, own = seg[order], mixed[order]
-            first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-            size = np.diff(np.append(first, n))
-            sums = np.add.reduceat(own, first)
-            base = tag + (seg[first].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
-            out.append(mix64(sums ^ mix64(base)))
+            # Segments are equal ranges of the hashes, so a sorted set falls into runs.
+            seg = (top * np.uint64(m)) >> np.uint64(32)
+            first = np.flatnonzero(np.diff(seg, prepend=np.uint64(1 << 63)))
+            sums = np.add.reduceat(mixed, first)
+            base = mix64(tag + (seg[first] + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+            own = [mix64(sums ^ base)]
+            slack[role] = max(0, len(first) - h - 1)
             if len(first) <= h:  # too many empty segments: the one-deletion neighbourhoods as well
+                size = np.diff(np.append(first, n))
                 big = np.repeat(size >= 2, size)
-                out.append(mix64((np.repeat(sums, size) - own) ^ mix64(np.repeat(base, size)))[big])
+                own.append(mix64((np.repeat(sums, size) - mixed) ^ np.repeat(base, size))[big])
                 if 2 * int((size >= 2).sum()) + int((size == 1).sum()) <= h:
-                    out.append(mix64(np.array([tag])))
-    return np.unique(np.concatenate(out))
+                    own.append(mix64(np.array([tag])))
+        out += own
+        roles += [np.full(len(x), role, dtype=np.uint64) for x in own]
+    return np.concatenate(out), np.concatenate(roles), slack
 
 
 def pack_set(s: np.ndarray) -> bytes:
@@ -116,109 +119,105 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * inter >= 75 * (len(a) + len(b) - inter) and inter > 0
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """id, node and size of each row; node is null for the empty set."""
-
-    def run(batches):
-        memo = WordHash()
-        for b in batches:
-            node, size = [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, memo)
-                node.append(node_of(s) if len(s) else None)
-                size.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int64())], names=["id", "node", "size"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node long, size long")
+MET = "what int, a long, b long, c long, d long, e long, f int"
+STAR, LIST, ROW = 0, 1, 2
 
 
 def _published(docs: DataFrame, ranges: int) -> DataFrame:
-    """rng, packed (sorted 48-bit signature and 16-bit number of the node), nodes, sizes: one row a chunk and range."""
+    """What a chunk of documents sends to each range: packed (sorted: 48 bits of signature, a role, 15 bits of node), the
+    nodes with sizes and slacks; and to one range the id, node and size of its rows."""
     top = (1 << 64) // ranges + 1
 
     def run(batches):
-        memo, seen = WordHash(), set()
+        seen: set[int] = set()
         for b in batches:
-            texts = b.column(1).to_pylist()
+            all_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for c in range(0, len(texts), CHUNK):
-                sigs, at, nodes, sizes = [], [], [], []
+                packed, nodes, sizes, slacks, row_node, row_size = [], [], [], [], [], []
                 for t in texts[c : c + CHUNK]:
-                    s = shingles(t, memo)
-                    node = node_of(s) if len(s) else 0
-                    if not len(s) or node in seen:  # equal sets of a task publish once
+                    s = shingles(t)
+                    node = node_of(s) if len(s) else None
+                    row_node.append(node)
+                    row_size.append(len(s))
+                    if node is None or node in seen:  # equal sets of a task publish once
                         continue
                     if len(seen) > 2_000_000:
                         seen.clear()
                     seen.add(node)
-                    got = signatures(s)
-                    sigs.append(got)
-                    at.append(np.full(len(got), len(nodes), dtype=np.uint64))
+                    g, role, slack = signatures(s)
+                    packed.append((g & ~np.uint64(0xFFFF)) | (role << np.uint64(15)) | np.uint64(len(nodes)))
                     nodes.append(node)
                     sizes.append(len(s))
-                if not sigs:
-                    continue
-                g, at = np.concatenate(sigs), np.concatenate(at)
-                order = np.argsort(g, kind="stable")
-                g, at = g[order], at[order]
-                r = (g // np.uint64(top)).astype(np.int64)
-                packed = (g << np.uint64(16)) | at  # the range says what the upper bits were
-                cut = np.searchsorted(r, np.arange(ranges + 1))
-                nodes, sizes = np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int64)
-                rows = []
+                    slacks.append(slack)
+                p = np.sort(np.concatenate(packed)) if packed else np.zeros(0, np.uint64)
+                cut = np.searchsorted(p, np.array([min(i * top, (1 << 64) - 1) for i in range(ranges + 1)], dtype=np.uint64))
+                cut[-1] = len(p)
+                nodes, info = np.array(nodes, dtype=np.int64), np.array([(z, *x) for z, x in zip(sizes, slacks)], dtype=np.int32).reshape(-1, 3)
+                home = (hash((c, len(p), all_ids[c])) & 0x7FFFFFFF) % ranges
+                rows = [(home, b"", b"", b"", all_ids[c : c + CHUNK], row_node, row_size)]
                 for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
                     if y > x:
-                        p = packed[x:y]
-                        used = np.unique((p & np.uint64(0xFFFF)).astype(np.int64))
-                        number = np.zeros(len(nodes), dtype=np.uint64)
-                        number[used] = np.arange(len(used), dtype=np.uint64)
-                        p = (p & ~np.uint64(0xFFFF)) | number[(p & np.uint64(0xFFFF)).astype(np.int64)]
-                        rows.append((i, p.tobytes(), nodes[used].tobytes(), sizes[used].astype(np.int32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["rng", "packed", "nodes", "sizes"])
+                        own = p[x:y]
+                        number = (own & np.uint64(0x7FFF)).astype(np.int64)
+                        used = np.unique(number)
+                        to = np.zeros(len(nodes), dtype=np.uint64)
+                        to[used] = np.arange(len(used), dtype=np.uint64)
+                        rows.append((i, ((own & ~np.uint64(0x7FFF)) | to[number]).tobytes(), nodes[used].tobytes(), info[used].tobytes(), [], [], []))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)), *(pa.array([r[k] for r in rows], longs) for k in (4, 5, 6))], names=["rng", "packed", "nodes", "info", "ids", "row_node", "row_size"])
 
-    return docs.mapInArrow(run, "rng int, packed binary, nodes binary, sizes binary")
+    return docs.mapInArrow(run, "rng int, packed binary, nodes binary, info binary, ids array<bigint>, row_node array<bigint>, row_size array<bigint>")
 
 
 def _met(t: pa.Table) -> pa.Table:
-    """The signatures of one range that several nodes share: star pairs (u, v), and the node lists of three or more."""
-    sig, at, nodes, sizes, base = [], [], [], [], 0
-    for p, n, z in zip(t["packed"].to_pylist(), t["nodes"].to_pylist(), t["sizes"].to_pylist()):
-        p, n = np.frombuffer(p, np.uint64), np.frombuffer(n, np.int64)
-        sig.append(p >> np.uint64(16))
-        at.append((p & np.uint64(0xFFFF)).astype(np.int64) + base)
-        nodes.append(n)
-        sizes.append(np.frombuffer(z, np.int32))
-        base += len(n)
-    sig, at, nodes, sizes = map(np.concatenate, (sig, at, nodes, sizes))
-    nodes, inverse = np.unique(nodes, return_inverse=True)
-    size = np.zeros(len(nodes), dtype=np.int64)
-    size[inverse] = sizes
-    at = inverse[at]
-    order = np.lexsort((at, sig))
-    sig, at = sig[order], at[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])])  # equal sets of other tasks
-    sig, at = sig[new], at[new]
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    count = np.diff(np.append(first, len(sig)))
-    many = count >= 2
-    # Lists with the same nodes are one: told by the sum of their nodes' hashes.
-    with np.errstate(over="ignore"):
-        content = np.add.reduceat(mix64(nodes[at].astype(np.uint64)), first)
-    first, count, content = first[many], count[many], content[many]
-    content, one = np.unique(content, return_index=True)
-    first, count = first[one], count[one]
-    lead = np.repeat(at[first], count - 1)
-    rest = np.concatenate([np.arange(f + 1, f + c) for f, c in zip(first, count)]).astype(np.int64) if len(first) else np.zeros(0, np.int64)
-    pair = np.unique(np.stack([lead, at[rest]], axis=1), axis=0) if len(rest) else np.zeros((0, 2), np.int64)
-    fits = 4 * np.minimum(size[pair[:, 0]], size[pair[:, 1]]) >= 3 * np.maximum(size[pair[:, 0]], size[pair[:, 1]])
-    pair = pair[fits]
-    long = np.flatnonzero(count >= 3)
-    big = np.concatenate([np.arange(first[i], first[i] + count[i]) for i in long]).astype(np.int64) if len(long) else np.zeros(0, np.int64)
-    lists = np.repeat(content[long].astype(np.int64), count[long])
-    return pa.table({
-        "list": pa.array(np.concatenate([np.zeros(len(pair), np.int64), lists]), mask=np.concatenate([np.ones(len(pair), bool), np.zeros(len(lists), bool)])),
-        "u": pa.array(np.concatenate([nodes[pair[:, 0]], nodes[at[big]]])),
-        "v": pa.array(np.concatenate([nodes[pair[:, 1]], size[at[big]]])),
-    })
+    """One range. STAR: a, b the nodes, c how often, d whether the two are all that share a signature. LIST (signatures of
+    three nodes or more; equal lists are one): a the list, b a node, c how many signatures, d size, e slack, f scheme.
+    ROW: a id, b node, c size."""
+    flat = lambda name: t[name].combine_chunks().flatten()
+    rows = [(ROW, flat("ids"), flat("row_node"), flat("row_size"), None, None, None)]
+    sig, role, at, nodes, info, base = [], [], [], [], [], 0
+    for p, n, z in zip(t["packed"].to_pylist(), t["nodes"].to_pylist(), t["info"].to_pylist()):
+        if p:
+            p, n = np.frombuffer(p, np.uint64), np.frombuffer(n, np.int64)
+            sig.append(p >> np.uint64(16))
+            role.append(((p >> np.uint64(15)) & np.uint64(1)).astype(np.int8))
+            at.append((p & np.uint64(0x7FFF)).astype(np.int64) + base)
+            nodes.append(n)
+            info.append(np.frombuffer(z, np.int32).reshape(-1, 3))
+            base += len(n)
+    if sig:
+        sig, role, at, nodes, info = map(np.concatenate, (sig, role, at, nodes, info))
+        nodes, one, inverse = np.unique(nodes, return_index=True, return_inverse=True)
+        info, at = info[one].astype(np.int64), inverse[at]
+        order = np.lexsort((at, sig))
+        sig, at, role = sig[order], at[order], role[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])])  # equal sets of other tasks
+        sig, at, role = sig[new], at[new], role[new]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        count = np.diff(np.append(first, len(sig)))
+        keep = count >= 2
+        scheme = np.searchsorted(_BANDS, info[at[first], 0], side="right") - 1 - role[first]
+        with np.errstate(over="ignore"):
+            content = np.add.reduceat(mix64(nodes[at].astype(np.uint64)), first) + mix64(scheme.astype(np.uint64) + np.uint64(1))
+        first, count, content, scheme = first[keep], count[keep], content[keep], scheme[keep]
+        content, one, times = np.unique(content, return_index=True, return_counts=True)
+        first, count, scheme = first[one], count[one], scheme[one]
+        spread = lambda which, skip: np.concatenate([np.arange(first[i] + skip, first[i] + count[i]) for i in which]).astype(np.int64) if len(which) else np.zeros(0, np.int64)
+        rest = spread(range(len(first)), 1)
+        u, v = np.repeat(at[first], count - 1), at[rest]
+        c, two = np.repeat(times, count - 1), np.repeat(count == 2, count - 1).astype(np.int64)
+        ok = 4 * np.minimum(info[u, 0], info[v, 0]) >= 3 * np.maximum(info[u, 0], info[v, 0])
+        rows.append((STAR, nodes[u[ok]], nodes[v[ok]], c[ok], two[ok], None, None))
+        long = np.flatnonzero(count >= 3)
+        e = spread(long, 0)
+        n, of = at[e], np.repeat(long, count[long])
+        rows.append((LIST, content[of].astype(np.int64), nodes[n], times[of], info[n, 0], info[n, 1 + role[e]], scheme[of].astype(np.int32)))
+    out = []
+    for what, *cols in rows:
+        n = len(cols[0])
+        arrays = [pa.array(np.full(n, what, np.int32))] + [pa.nulls(n, pa.int32() if i == 5 else pa.int64()) if x is None else x if isinstance(x, pa.Array) else pa.array(x) for i, x in enumerate(cols)]
+        out.append(pa.Table.from_arrays(arrays, names=["what", "a", "b", "c", "d", "e", "f"]))
+    return pa.concat_tables(out)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,11 +228,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     texts = docs.join(rows, F.col("id") == F.col("_rid")).select("node", "text")
 
     def pack(batches):
-        memo = WordHash()
         for b in batches:
             node, packed = [], []
             for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(t, memo)
+                s = shingles(t)
                 if len(s) and node_of(s) == n:  # rows may share an id
                     node.append(n)
                     packed.append(pack_set(s))
@@ -266,25 +264,29 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = durable(_sets(docs))
-    total = sets.agg(F.sum("size")).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 9 // 10 // PER_RANGE))
-    met = durable(_published(docs, ranges).groupBy("rng").applyInArrow(_met, "list long, u long, v long"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // 7 // PER_RANGE))
+    met = durable(_published(docs, ranges).groupBy("rng").applyInArrow(_met, MET))
     tidy(spark)
-    stars = durable(met.where("list IS NULL").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")))
+    sets = met.where(F.col("what") == ROW).select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("c").alias("size"))
+    stars = durable(met.where(F.col("what") == STAR).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("c").alias("n"), F.max("d").alias("two")))
     # First each node with the leader it meets most often; that connects most of a group of near copies.
     first = durable(stars.groupBy("v").agg(F.max(F.struct("n", "u")).alias("m")).select("m.u", "v"))
     links = _verified(first, docs, sets)
     comp = durable(components(links))
-    # Then every pair that shares a signature and is not yet connected.
+    # Then what shares a signature and is not yet connected. A set need not probe its commonest signatures, as many as
+    # its slack allows: those left are still more than its largest difference to a partner.
     name = comp.select(F.col("id").alias("_id"), "component")
-    lists = met.where("list IS NOT NULL").select("list", "u", F.col("v").alias("size"))
-    named = lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "size", F.coalesce("component", "u").alias("c"))
-    mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("list").alias("_l")))
-    named = durable(named.join(mixed, F.col("list") == F.col("_l"), "left_semi").distinct())
+    lists = met.where(F.col("what") == LIST).groupBy(F.col("a").alias("list"), F.col("b").alias("u")).agg(F.sum("c").alias("n"), F.max("d").alias("size"), F.max("e").alias("slack"), F.max("f").alias("scheme"))
+    named = lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "n", "size", "slack", "scheme", F.coalesce("component", "u").alias("c"))
+    named = durable(named)
+    mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b").select(F.col("list").alias("_l"), "k"))
+    named = durable(named.join(mixed, F.col("list") == F.col("_l")).drop("_l"))
+    common = Window.partitionBy("u", "scheme").orderBy(F.desc("k"), "list").rowsBetween(Window.unboundedPreceding, 0)
+    probe = named.withColumn("_skipped", F.sum("n").over(common)).where(F.col("_skipped") > F.col("slack")).drop("_skipped")
     other = named.select("list", F.col("u").alias("v"), F.col("size").alias("vs"), F.col("c").alias("vc"))
-    more = named.join(other, "list").where("c <> vc AND u < v AND 4 * size >= 3 * vs AND 4 * vs >= 3 * size").select("u", "v")
-    ends = stars.join(name, F.col("u") == F.col("_id"), "left").select("u", "v", F.coalesce("component", "u").alias("uc"))
+    more = probe.join(other, "list").where("c <> vc AND 4 * size >= 3 * vs AND 4 * vs >= 3 * size").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    ends = stars.where("two = 1").join(name, F.col("u") == F.col("_id"), "left").select("u", "v", F.coalesce("component", "u").alias("uc"))
     ends = ends.join(name, F.col("v") == F.col("_id"), "left").where(F.col("uc") != F.coalesce("component", "v")).select("u", "v")
     more = durable(more.unionByName(ends).distinct().join(first, ["u", "v"], "left_anti"))
     tidy(spark)
