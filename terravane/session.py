@@ -40,6 +40,9 @@ def ship(spark: SparkSession) -> None:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(target)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        # texts are long rows: smaller batches keep the Python workers small. A setting of the cluster's own stays.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     _SHIPPED.add(app)
 
 
