@@ -90,8 +90,8 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
             sig, k = np.frombuffer(b"".join(g["packed"]), "<i4").reshape(len(g), -1), g["k"].to_numpy()
             outs = []
             counts, near = np.zeros(len(g), dtype=np.int64), []
-            for c in range(0, len(a), 1024):
-                r = a[c : c + 1024]
+            for c in range(0, len(a), 128):
+                r = a[c : c + 128]
                 hit = m[r] @ m[b].T >= threshold
                 if i == j:
                     hit &= reps[r][:, None] < reps[b][None, :]
