@@ -22,6 +22,7 @@ signatures as long as those left are more than H, so passages that very many doc
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ from .common import hash_words, mix64
 from .components import components
 
 N, CHUNK = 5, 2000
-PER_RANGE = 3_500_000
+PER_RANGE = 3_000_000
+LOAD, TILE, HELD = 200_000, 2048, 1_000_000
 #: Bounds of the size bands: each at least 4/3 of the one before.
 BANDS = [3]
 while BANDS[-1] < 1 << 40:
@@ -189,8 +191,20 @@ def _met(t: pa.Table) -> pa.Table:
         sig, role, at, nodes, info = map(np.concatenate, (sig, role, at, nodes, info))
         nodes, one, inverse = np.unique(nodes, return_index=True, return_inverse=True)
         info, at = info[one].astype(np.int64), inverse[at]
-        order = np.lexsort((at, sig))
-        sig, at, role = sig[order], at[order], role[order]
+        low = sig.min()
+        sig -= low
+        bits = max(1, int(len(nodes) - 1).bit_length())
+        if int(sig.max()).bit_length() + 1 + bits <= 64:
+            # signature, node and role fit one number: sorted in place, told apart again after
+            key = (sig << np.uint64(bits + 1)) | (at.astype(np.uint64) << np.uint64(1)) | role.astype(np.uint64)
+            del sig, at, role
+            key.sort()
+            role, at = (key & np.uint64(1)).astype(np.int8), ((key >> np.uint64(1)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            sig = key >> np.uint64(bits + 1)
+            del key
+        else:
+            order = np.lexsort((at, sig))
+            sig, at, role = sig[order], at[order], role[order]
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (at[1:] != at[:-1])])  # equal sets of other tasks
         sig, at, role = sig[new], at[new], role[new]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -220,6 +234,72 @@ def _met(t: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _crossed(named: DataFrame) -> DataFrame:
+    """named: list, lead, k (its nodes), u, size, c, probe. The pairs (u, v) of a list's nodes in different components,
+    of fitting sizes, of which one probes.
+
+    Lists with the same leading node hold much the same nodes, so they are dealt together and each pair is sent once for
+    all of them. A leader's lists are dealt over more tasks beyond LOAD rows; a long list is cut into tiles whose pairs
+    are cells of their own; what is held is emptied at HELD pairs. So no group has to fit a task.
+    """
+    spark = named.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    load = durable(named.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / LOAD).cast("int").alias("parts")).where("parts > 1").select(F.col("lead").alias("_lead"), "parts"))
+    tiles = F.ceil(F.col("k") / TILE).cast("int")
+    d = named.join(load, F.col("lead") == F.col("_lead"), "left").withColumn("part", F.pmod(F.col("list"), F.coalesce("parts", F.lit(1))))
+    d = d.withColumn("tile", F.pmod(F.xxhash64("u"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    d = d.select("lead", "part", "list", F.least("o", "tile").alias("i"), F.greatest("o", "tile").alias("j"), "tile", "u", "size", "c", "probe")
+    d = d.repartition(width, "lead", "part").sortWithinPartitions("lead", "part", "list", "i", "j", "u")
+
+    def pairs(frames):
+        keys, carry, held, n, now = ["lead", "part", "list", "i", "j"], None, [], 0, None
+
+        def empty():
+            nonlocal held, n
+            if held:
+                p = np.unique(np.concatenate(held), axis=0)
+                held, n = [], 0
+                yield pd.DataFrame({"u": p[:, 0], "v": p[:, 1]})
+
+        def cell(g: pd.DataFrame):
+            u, c, size, probe, tile = (g[x].to_numpy() for x in ("u", "c", "size", "probe", "tile"))
+            i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+            a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+            for k in range(0, len(a), 256):
+                x = a[k : k + 256]
+                ok = (c[x][:, None] != c[b]) & (probe[x][:, None] | probe[b]) & (4 * size[x][:, None] >= 3 * size[b]) & (4 * size[b] >= 3 * size[x][:, None])
+                if i == j:
+                    ok &= u[x][:, None] < u[b]
+                p, q = np.nonzero(ok)
+                if len(p):
+                    p, q = u[x[p]], u[b[q]]
+                    yield np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1)
+
+        for f in frames:
+            f = f if carry is None else pd.concat([carry, f], ignore_index=True)
+            if not len(f):
+                continue
+            edge = np.flatnonzero((f[keys].to_numpy()[1:] != f[keys].to_numpy()[:-1]).any(axis=1)) + 1
+            starts = [0, *edge.tolist()]
+            for s, e in zip(starts, edge.tolist()):
+                lead = (f["lead"].iat[s], f["part"].iat[s])
+                if lead != now or n > HELD:
+                    yield from empty()
+                    now = lead
+                for p in cell(f.iloc[s:e]):
+                    held.append(p)
+                    n += len(p)
+                    if len(held) > 200:
+                        held = [np.unique(np.concatenate(held), axis=0)]
+                        n = len(held[0])
+            carry = f.iloc[starts[-1] :]
+        if carry is not None and len(carry):
+            held += list(cell(carry))
+        yield from empty()
+
+    return d.mapInPandas(pairs, "u long, v long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets are similar. The texts of the nodes in pairs are looked up once."""
     need = pairs.select(F.col("u").alias("_n")).unionByName(pairs.select(F.col("v").alias("_n"))).distinct()
@@ -280,12 +360,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     lists = met.where(F.col("what") == LIST).groupBy(F.col("a").alias("list"), F.col("b").alias("u")).agg(F.sum("c").alias("n"), F.max("d").alias("size"), F.max("e").alias("slack"), F.max("f").alias("scheme"))
     named = lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "n", "size", "slack", "scheme", F.coalesce("component", "u").alias("c"))
     named = durable(named)
-    mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b").select(F.col("list").alias("_l"), "k"))
+    mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k"), F.min("u").alias("lead")).where("a <> b").select(F.col("list").alias("_l"), "k", "lead"))
     named = durable(named.join(mixed, F.col("list") == F.col("_l")).drop("_l"))
     common = Window.partitionBy("u", "scheme").orderBy(F.desc("k"), "list").rowsBetween(Window.unboundedPreceding, 0)
-    probe = named.withColumn("_skipped", F.sum("n").over(common)).where(F.col("_skipped") > F.col("slack")).drop("_skipped")
-    other = named.select("list", F.col("u").alias("v"), F.col("size").alias("vs"), F.col("c").alias("vc"))
-    more = probe.join(other, "list").where("c <> vc AND 4 * size >= 3 * vs AND 4 * vs >= 3 * size").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    named = named.withColumn("probe", F.sum("n").over(common) > F.col("slack"))
+    more = _crossed(named.select("list", "lead", "k", "u", "size", "c", "probe"))
     ends = stars.where("two = 1").join(name, F.col("u") == F.col("_id"), "left").select("u", "v", F.coalesce("component", "u").alias("uc"))
     ends = ends.join(name, F.col("v") == F.col("_id"), "left").where(F.col("uc") != F.coalesce("component", "v")).select("u", "v")
     more = durable(more.unionByName(ends).distinct().join(first, ["u", "v"], "left_anti"))

@@ -71,14 +71,20 @@ def test_partners_share_a_signature():
                     assert set(sj.signatures(x)[0].tolist()) & set(sj.signatures(y)[0].tolist())
 
 
-def test_hot_group_and_repeated_ids(spark):
+def test_hot_group_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(sj, "TILE", 16)
+    monkeypatch.setattr(sj, "LOAD", 500)
     rnd = random.Random(9)
     base = [f"w{k}" for k in range(200)]
-    rows = [(i, " ".join(near(rnd, base, 0.01))) for i in range(150)] + [(7, "a b c d e f"), (7, "q r s t u v"), (None, "a b c d e f"), (500, "a b c d e f")]
+    rows = [(i, " ".join(near(rnd, base, 0.01 + 0.0004 * i))) for i in range(150)]
     got = sj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == len(rows)
-    assert {r.component_id for r in got if r.doc_id is not None and r.doc_id < 150 and r.n_shingles > 100} == {0}
-    assert {r.component_id for r in got if r.n_shingles == 2 and r.doc_id in (7, 500, None)} == {7}
+    assert sorted(map(tuple, got)) == brute(rows) and len({r.component_id for r in got}) > 1
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(7, "a b c d e f"), (7, "q r s t u v"), (None, "a b c d e f"), (500, "a b c d e f"), (None, None)]
+    got = sj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.n_shingles} == {7}
 
 
 def test_packed_sets_and_empty_table(spark):
