@@ -14,10 +14,10 @@ from .resolution import unique
 
 #: Rule ids and name prefixes.
 RULES = {
-    "JPA1": "ATLAS-LINEAGE-JPA-TABLE-001", "JPA2": "ATLAS-LINEAGE-JPA-TABLE-002", "REPO1": "ATLAS-LINEAGE-REPOSITORY-001", "REPO2": "ATLAS-LINEAGE-REPOSITORY-002", "REPO3": "ATLAS-LINEAGE-REPOSITORY-003", "IO": "ATLAS-LINEAGE-ENDPOINT-002", "CALL": "ATLAS-LINEAGE-CALL-001",
-    "LOST": "ATLAS-LINEAGE-UNRESOLVED-001", "READ": "ATLAS-LINEAGE-READ-001", "WRITE": "ATLAS-LINEAGE-WRITE-001", "DI1": "ATLAS-LINEAGE-DI-001", "DI2": "ATLAS-LINEAGE-DI-002", "SQL1": "ATLAS-LINEAGE-SQL-001", "SQL2": "ATLAS-LINEAGE-SQL-002",
-    "MAP1": "ATLAS-LINEAGE-MAP-001", "MAP2": "ATLAS-LINEAGE-MAP-002", "VALID": "ATLAS-LINEAGE-VALIDATION-001", "AWRITE": "ATLAS-LINEAGE-ADA-WRITE-001", "AREAD": "ATLAS-LINEAGE-ADA-READ-001", "ACALL1": "ATLAS-LINEAGE-ADA-CALL-001",
-    "ACALL2": "ATLAS-LINEAGE-ADA-CALL-002", "AIO1": "ATLAS-LINEAGE-ADA-IO-001", "AIO2": "ATLAS-LINEAGE-ADA-IO-002", "AEXT": "ATLAS-LINEAGE-ADA-EXTERNAL-001", "AMAP1": "ATLAS-LINEAGE-ADA-MAP-001", "AMAP2": "ATLAS-LINEAGE-ADA-MAP-002",
+    "JPA1": "JPA-TABLE-001", "JPA2": "JPA-TABLE-002", "REPO1": "REPOSITORY-001", "REPO2": "REPOSITORY-002", "REPO3": "REPOSITORY-003", "IO": "ENDPOINT-002", "CALL": "CALL-001",
+    "LOST": "UNRESOLVED-001", "READ": "READ-001", "WRITE": "WRITE-001", "DI1": "DI-001", "DI2": "DI-002", "SQL1": "SQL-001", "SQL2": "SQL-002",
+    "MAP1": "MAP-001", "MAP2": "MAP-002", "VALID": "VALIDATION-001", "AWRITE": "ADA-WRITE-001", "AREAD": "ADA-READ-001", "ACALL1": "ADA-CALL-001",
+    "ACALL2": "ADA-CALL-002", "AIO1": "ADA-IO-001", "AIO2": "ADA-IO-002", "AEXT": "ADA-EXTERNAL-001", "AMAP1": "ADA-MAP-001", "AMAP2": "ADA-MAP-002",
 }
 WRITES, READS = ("save", "insert", "update", "delete", "remove", "persist", "merge"), ("find", "get", "read", "query", "count", "exists", "search", "stream")
 MAPPERS, ADA_MAPPERS = ("to", "map", "convert", "from", "build"), ("to_", "convert", "from_", "make_", "build_", "transform")

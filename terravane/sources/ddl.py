@@ -78,7 +78,7 @@ def table(out: Facts, name: str, declared: str, kind: str, loc: dict, columns: l
 
 
 def foreign_key(out: Facts, owner: str, column: str, target: str, loc: dict) -> None:
-    out.edge("REFERENCES", stable_id("sql", "DATABASE_OBJECT", owner), target, loc, False, "DISCOVERED", typeName=target, ruleId="ATLAS-SQL-FOREIGN-KEY-001", analyzerId=out.analyzer, confidence="1.00", foreignKeyColumn=column)
+    out.edge("REFERENCES", stable_id("sql", "DATABASE_OBJECT", owner), target, loc, False, "DISCOVERED", typeName=target, ruleId="SQL-FOREIGN-KEY-001", analyzerId=out.analyzer, confidence="1.00", foreignKeyColumn=column)
 
 
 EXTRACTOR = Extractor("sql", VERSION, lambda p: extension(p) in ("sql", "ddl"), extract)

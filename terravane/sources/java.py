@@ -427,7 +427,7 @@ class Scanner:
             "ENDPOINT", f"{VERBS[verb]} {path}", f"{VERBS[verb]}:{path}", loc, httpMethod=VERBS[verb], httpPath=path, externallyExposed=True, httpPathUnresolved=True if base[1] or own[1] else None,
             requestBodyType=body, returnTypeNormalized=normal if normal != "void" else None, httpParams=params or None, validated=True if valid else None,
         )
-        rule = {"ruleId": "ATLAS-LINEAGE-ENDPOINT-001", "ruleVersion": "1", "analyzerId": self.out.analyzer, "confidence": "1.00"}
+        rule = {"ruleId": "ENDPOINT-001", "ruleVersion": "1", "analyzerId": self.out.analyzer, "confidence": "1.00"}
         self.out.edge("EXPOSES", owner, e, loc, True, "DISCOVERED", **rule)
         self.out.edge("INVOKES", e, handler, loc, True, "DISCOVERED", **rule)
 
