@@ -221,11 +221,12 @@ def lineage_trace_up(spark, d):
     return _trace(spark, d, "data:type:S1", "up", 2)
 
 
-@query(f"{es.SQL}, c AS (SELECT min(from_id) AS id FROM unres) SELECT DISTINCT r.kind, from_id, to_id, 'UNRESOLVED_TARGET' AS reason FROM rel r, c WHERE from_id = c.id AND status = 'UNRESOLVED' AND false")
+@query(f"{es.SQL}, c AS (SELECT min(from_id) AS id FROM unres) SELECT DISTINCT 'READS_FROM' AS kind, from_id, to_id, 'UNRESOLVED_TARGET' AS reason FROM unres, c WHERE from_id = c.id")
 def lineage_gaps(spark, d):
-    """CALLS carry no data, so an entity with unresolved calls alone has no gaps."""
-    first = es.unresolved_calls(spark, d).agg(F.min("from_id")).first()[0] or START
-    return gr.trace(ent(spark, d), es.unresolved_calls(spark, d), first, "down", 2).gaps
+    """Unresolved reads at the start of a trace are its gaps."""
+    lost = es.unresolved_calls(spark, d).withColumn("kind", F.lit("READS_FROM"))
+    first = lost.agg(F.min("from_id")).first()[0] or START
+    return gr.trace(ent(spark, d), lost, first, "down", 2).gaps
 
 
 @query(_trace_sql(False, 3, START).replace("SELECT array_to_string(nodes, '|') AS path, round(conf, 2) AS confidence FROM kept", "SELECT kept.last AS end_id, count(*) AS paths, round(max(conf), 2) AS best FROM kept GROUP BY 1"))
