@@ -33,7 +33,7 @@ from .components import components
 
 N, CHUNK = 5, 2000
 PER_RANGE = 3_000_000
-LOAD, TILE, HELD = 200_000, 2048, 1_000_000
+LOAD, TILE, HELD = 50_000, 2048, 1_000_000
 #: Bounds of the size bands: each at least 4/3 of the one before.
 BANDS = [3]
 while BANDS[-1] < 1 << 40:
@@ -121,8 +121,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * inter >= 75 * (len(a) + len(b) - inter) and inter > 0
 
 
-MET = "what int, a long, b long, c long, d long, e long, f int"
-STAR, LIST, ROW = 0, 1, 2
+MET = "what int, a long, b long, c long, d long, e long, f int, k long"
+TWO, LIST, ROW = 0, 1, 2
 
 
 def _published(docs: DataFrame, ranges: int) -> DataFrame:
@@ -172,11 +172,11 @@ def _published(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _met(t: pa.Table) -> pa.Table:
-    """One range. STAR: a, b the nodes, c how often, d whether the two are all that share a signature. LIST (signatures of
-    three nodes or more; equal lists are one): a the list, b a node, c how many signatures, d size, e slack, f scheme.
+    """One range. TWO (signatures of two nodes): a, b the nodes, c how many signatures. LIST (signatures of three nodes or
+    more; equal lists are one): a the list, b a node, c how many signatures, d size, e slack, f scheme, k nodes in all.
     ROW: a id, b node, c size."""
     flat = lambda name: t[name].combine_chunks().flatten()
-    rows = [(ROW, flat("ids"), flat("row_node"), flat("row_size"), None, None, None)]
+    rows = [(ROW, flat("ids"), flat("row_node"), flat("row_size"), None, None, None, None)]
     sig, role, at, nodes, info, base = [], [], [], [], [], 0
     for p, n, z in zip(t["packed"].to_pylist(), t["nodes"].to_pylist(), t["info"].to_pylist()):
         if p:
@@ -216,21 +216,20 @@ def _met(t: pa.Table) -> pa.Table:
         first, count, content, scheme = first[keep], count[keep], content[keep], scheme[keep]
         content, one, times = np.unique(content, return_index=True, return_counts=True)
         first, count, scheme = first[one], count[one], scheme[one]
-        spread = lambda which, skip: np.concatenate([np.arange(first[i] + skip, first[i] + count[i]) for i in which]).astype(np.int64) if len(which) else np.zeros(0, np.int64)
-        rest = spread(range(len(first)), 1)
-        u, v = np.repeat(at[first], count - 1), at[rest]
-        c, two = np.repeat(times, count - 1), np.repeat(count == 2, count - 1).astype(np.int64)
+        spread = lambda which: np.concatenate([np.arange(first[i], first[i] + count[i]) for i in which]).astype(np.int64) if len(which) else np.zeros(0, np.int64)
+        pair = np.flatnonzero(count == 2)
+        u, v = at[first[pair]], at[first[pair] + 1]
         ok = 4 * np.minimum(info[u, 0], info[v, 0]) >= 3 * np.maximum(info[u, 0], info[v, 0])
-        rows.append((STAR, nodes[u[ok]], nodes[v[ok]], c[ok], two[ok], None, None))
+        rows.append((TWO, nodes[u[ok]], nodes[v[ok]], times[pair][ok], None, None, None, None))
         long = np.flatnonzero(count >= 3)
-        e = spread(long, 0)
+        e = spread(long)
         n, of = at[e], np.repeat(long, count[long])
-        rows.append((LIST, content[of].astype(np.int64), nodes[n], times[of], info[n, 0], info[n, 1 + role[e]], scheme[of].astype(np.int32)))
+        rows.append((LIST, content[of].astype(np.int64), nodes[n], times[of], info[n, 0], info[n, 1 + role[e]], scheme[of].astype(np.int32), count[of]))
     out = []
     for what, *cols in rows:
         n = len(cols[0])
         arrays = [pa.array(np.full(n, what, np.int32))] + [pa.nulls(n, pa.int32() if i == 5 else pa.int64()) if x is None else x if isinstance(x, pa.Array) else pa.array(x) for i, x in enumerate(cols)]
-        out.append(pa.Table.from_arrays(arrays, names=["what", "a", "b", "c", "d", "e", "f"]))
+        out.append(pa.Table.from_arrays(arrays, names=["what", "a", "b", "c", "d", "e", "f", "k"]))
     return pa.concat_tables(out)
 
 
@@ -304,7 +303,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets are similar. The texts of the nodes in pairs are looked up once."""
     need = pairs.select(F.col("u").alias("_n")).unionByName(pairs.select(F.col("v").alias("_n"))).distinct()
     # one row of each node; equal sets have different texts at most in white space and case
-    rows = sets.where("node IS NOT NULL").join(need, F.col("node") == F.col("_n"), "left_semi").groupBy("node").agg(F.min("id").alias("_rid"))
+    rows = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("_rid")).join(need, F.col("node") == F.col("_n"), "left_semi")
     texts = docs.join(rows, F.col("id") == F.col("_rid")).select("node", "text")
 
     def pack(batches):
@@ -349,24 +348,31 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     met = durable(_published(docs, ranges).groupBy("rng").applyInArrow(_met, MET))
     tidy(spark)
     sets = met.where(F.col("what") == ROW).select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("c").alias("size"))
-    stars = durable(met.where(F.col("what") == STAR).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("c").alias("n"), F.max("d").alias("two")))
+    twos = durable(met.where(F.col("what") == TWO).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("c").alias("n")))
+    lists = durable(met.where(F.col("what") == LIST).groupBy(F.col("a").alias("list"), F.col("b").alias("u")).agg(F.sum("c").alias("n"), F.max("d").alias("size"), F.max("e").alias("slack"), F.max("f").alias("scheme"), F.max("k").alias("k")))
+    # The leader of a list is its node that shares most with all others: of near copies of a text, that text itself.
+    degree = lists.groupBy(F.col("u").alias("_u")).agg(F.sum(F.col("n") * F.col("k")).alias("degree"))
+    led = lists.join(degree, F.col("u") == F.col("_u")).groupBy(F.col("list").alias("_l")).agg(F.max(F.struct("degree", "u", "size")).alias("m")).select("_l", F.col("m.u").alias("lead"), F.col("m.size").alias("ls"))
+    lists = durable(lists.join(led, F.col("list") == F.col("_l")).drop("_l"))
+    tidy(spark)
     # First each node with the leader it meets most often; that connects most of a group of near copies.
-    first = durable(stars.groupBy("v").agg(F.max(F.struct("n", "u")).alias("m")).select("m.u", "v"))
+    meets = lists.where("u <> lead AND 4 * size >= 3 * ls AND 4 * ls >= 3 * size").groupBy("u", F.col("lead").alias("v")).agg(F.sum("n").alias("n"))
+    meets = meets.unionByName(twos).unionByName(twos.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"))
+    first = meets.groupBy("u").agg(F.max(F.struct("n", "v")).alias("m")).select(F.least("u", "m.v").alias("_a"), F.greatest("u", "m.v").alias("v")).select(F.col("_a").alias("u"), "v")
+    first = durable(first.distinct())
     links = _verified(first, docs, sets)
     comp = durable(components(links))
     # Then what shares a signature and is not yet connected. A set need not probe its commonest signatures, as many as
     # its slack allows: those left are still more than its largest difference to a partner.
     name = comp.select(F.col("id").alias("_id"), "component")
-    lists = met.where(F.col("what") == LIST).groupBy(F.col("a").alias("list"), F.col("b").alias("u")).agg(F.sum("c").alias("n"), F.max("d").alias("size"), F.max("e").alias("slack"), F.max("f").alias("scheme"))
-    named = lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "n", "size", "slack", "scheme", F.coalesce("component", "u").alias("c"))
-    named = durable(named)
-    mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k"), F.min("u").alias("lead")).where("a <> b").select(F.col("list").alias("_l"), "k", "lead"))
-    named = durable(named.join(mixed, F.col("list") == F.col("_l")).drop("_l"))
+    named = durable(lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "n", "size", "slack", "scheme", "k", "lead", F.coalesce("component", "u").alias("c")))
+    mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("list").alias("_l")))
+    named = durable(named.join(mixed, F.col("list") == F.col("_l"), "left_semi"))
     common = Window.partitionBy("u", "scheme").orderBy(F.desc("k"), "list").rowsBetween(Window.unboundedPreceding, 0)
     named = named.withColumn("probe", F.sum("n").over(common) > F.col("slack"))
     more = _crossed(named.select("list", "lead", "k", "u", "size", "c", "probe"))
-    ends = stars.where("two = 1").join(name, F.col("u") == F.col("_id"), "left").select("u", "v", F.coalesce("component", "u").alias("uc"))
-    ends = ends.join(name, F.col("v") == F.col("_id"), "left").where(F.col("uc") != F.coalesce("component", "v")).select("u", "v")
+    ends = twos.join(name, F.col("u") == F.col("_id"), "left").select("u", "v", F.coalesce("component", "u").alias("uc"))
+    ends = ends.join(name, F.col("v") == F.col("_id"), "left").where(F.col("uc") != F.coalesce("component", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = durable(more.unionByName(ends).distinct().join(first, ["u", "v"], "left_anti"))
     tidy(spark)
     if not more.isEmpty():
