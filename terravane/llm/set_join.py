@@ -15,8 +15,8 @@ segments, or both publish the neighbourhoods. So no link is lost; candidates are
 Equal sets are one node from the start. Signatures travel packed: a chunk of documents sends each range of the
 signatures one sorted array. What components need is connectivity, so a signature shared by many nodes first gives a
 star; after one pair of each node is verified, only pairs whose nodes are in different components are still verified. A
-group of thousands of near copies thus costs about its size, not its square. And a set leaves out its commonest
-signatures as long as those left are more than H, so passages that very many documents share make few candidates.
+group of thousands of near copies thus costs about its size, not its square. And as at most H of a set's non-empty
+segments differ from a partner's, pairs must share the rest: passages that very many documents share make few candidates.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, release, ship, tidy
@@ -33,7 +33,7 @@ from .components import components
 
 N, CHUNK = 5, 2000
 PER_RANGE = 3_000_000
-LOAD, TILE, HELD = 50_000, 2048, 1_000_000
+LOAD, TILE, HELD = 500_000, 2048, 2_000_000
 #: Bounds of the size bands: each at least 4/3 of the one before.
 BANDS = [3]
 while BANDS[-1] < 1 << 40:
@@ -173,7 +173,7 @@ def _published(docs: DataFrame, ranges: int) -> DataFrame:
 
 def _met(t: pa.Table) -> pa.Table:
     """One range. TWO (signatures of two nodes): a, b the nodes, c how many signatures. LIST (signatures of three nodes or
-    more; equal lists are one): a the list, b a node, c how many signatures, d size, e slack, f scheme, k nodes in all.
+    more; equal lists are one): a the list, b a node, c how many signatures, d size, e slack, f role, k nodes in all.
     ROW: a id, b node, c size."""
     flat = lambda name: t[name].combine_chunks().flatten()
     rows = [(ROW, flat("ids"), flat("row_node"), flat("row_size"), None, None, None, None)]
@@ -224,7 +224,7 @@ def _met(t: pa.Table) -> pa.Table:
         long = np.flatnonzero(count >= 3)
         e = spread(long)
         n, of = at[e], np.repeat(long, count[long])
-        rows.append((LIST, content[of].astype(np.int64), nodes[n], times[of], info[n, 0], info[n, 1 + role[e]], scheme[of].astype(np.int32), count[of]))
+        rows.append((LIST, content[of].astype(np.int64), nodes[n], times[of], info[n, 0], info[n, 1 + role[e]], role[e].astype(np.int32), count[of]))
     out = []
     for what, *cols in rows:
         n = len(cols[0])
@@ -234,12 +234,15 @@ def _met(t: pa.Table) -> pa.Table:
 
 
 def _crossed(named: DataFrame) -> DataFrame:
-    """named: list, lead, k (its nodes), u, size, c, probe. The pairs (u, v) of a list's nodes in different components,
-    of fitting sizes, of which one probes.
-
-    Lists with the same leading node hold much the same nodes, so they are dealt together and each pair is sent once for
-    all of them. A leader's lists are dealt over more tasks beyond LOAD rows; a long list is cut into tiles whose pairs
-    are cells of their own; what is held is emptied at HELD pairs. So no group has to fit a task.
+    """named: list, lead, k (its nodes), u, n (its signatures), size, slack, up (role 1), weight (all of u's signatures
+    that are shared), c. Pairs (u, v) of a list's nodes in different components and of fitting sizes, with n, how many
+    signatures they share, and need, how many partners must share; a pair may come in several rows.
+
+    Of x's non-empty segments at most H differ from a partner's, so partners share more than x's slack. Lists with the
+    same leading node hold much the same nodes, so they are dealt together and counted in one place; what a pair can
+    share elsewhere is at most what its nodes have elsewhere, and a pair that cannot reach its need goes at once. A
+    leader's lists are dealt over more tasks beyond LOAD rows; a long list is cut into tiles whose pairs are cells of
+    their own; beyond HELD pairs the counts so far are sent on. So no group has to fit a task.
     """
     spark = named.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -247,56 +250,88 @@ def _crossed(named: DataFrame) -> DataFrame:
     tiles = F.ceil(F.col("k") / TILE).cast("int")
     d = named.join(load, F.col("lead") == F.col("_lead"), "left").withColumn("part", F.pmod(F.col("list"), F.coalesce("parts", F.lit(1))))
     d = d.withColumn("tile", F.pmod(F.xxhash64("u"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    d = d.select("lead", "part", "list", F.least("o", "tile").alias("i"), F.greatest("o", "tile").alias("j"), "tile", "u", "size", "c", "probe")
+    d = d.select("lead", "part", "list", F.least("o", "tile").alias("i"), F.greatest("o", "tile").alias("j"), "tile", "u", "n", "size", "slack", "up", "weight", "c")
     d = d.repartition(width, "lead", "part").sortWithinPartitions("lead", "part", "list", "i", "j", "u")
 
+    def counted(rows: list[np.ndarray]) -> np.ndarray:
+        """Rows (u, v, n, need), one a pair: n summed, need the largest."""
+        p = np.concatenate(rows)
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        first = np.flatnonzero(np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(axis=1)]))
+        return np.stack([p[first, 0], p[first, 1], np.add.reduceat(p[:, 2], first), np.maximum.reduceat(p[:, 3], first)], axis=1)
+
     def pairs(frames):
         keys, carry, held, n, now = ["lead", "part", "list", "i", "j"], None, [], 0, None
+        here: list[np.ndarray] = []  # (u, n, weight) of the lists met since the leader began
+        whole = True
 
-        def empty():
-            nonlocal held, n
+        def send(last: bool):
+            nonlocal held, n, here, whole
             if held:
-                p = np.unique(np.concatenate(held), axis=0)
-                held, n = [], 0
-                yield pd.DataFrame({"u": p[:, 0], "v": p[:, 1]})
+                p = counted(held)
+                if last and whole:
+                    h = np.concatenate(here)
+                    u, at = np.unique(h[:, 0], return_inverse=True)
+                    away = h[np.unique(at, return_index=True)[1], 2] - np.bincount(at, weights=h[:, 1]).astype(np.int64)
+                    least = np.minimum(away[np.searchsorted(u, p[:, 0])], away[np.searchsorted(u, p[:, 1])])
+                    p = p[p[:, 2] + np.maximum(least, 0) >= p[:, 3]]
+                whole = False
+                for k in range(0, len(p), 1 << 16):
+                    q = p[k : k + (1 << 16)]
+                    yield pd.DataFrame({"u": q[:, 0], "v": q[:, 1], "n": q[:, 2], "need": q[:, 3]})
+            held, n = [], 0
 
         def cell(g: pd.DataFrame):
-            u, c, size, probe, tile = (g[x].to_numpy() for x in ("u", "c", "size", "probe", "tile"))
-            i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+            u, w, c, size, slack, up, tile, weight = (g[x].to_numpy() for x in ("u", "n", "c", "size", "slack", "up", "tile", "weight"))
+            up = up.astype(bool)
+            i, j, times = int(g["i"].iloc[0]), int(g["j"].iloc[0]), int(w[0])
             a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+            if i == j:
+                here.append(np.stack([u, w, weight], axis=1))
             for k in range(0, len(a), 256):
                 x = a[k : k + 256]
-                ok = (c[x][:, None] != c[b]) & (probe[x][:, None] | probe[b]) & (4 * size[x][:, None] >= 3 * size[b]) & (4 * size[b] >= 3 * size[x][:, None])
+                ok = (c[x][:, None] != c[b]) & ~(up[x][:, None] & up[b]) & (4 * size[x][:, None] >= 3 * size[b]) & (4 * size[b] >= 3 * size[x][:, None])
                 if i == j:
                     ok &= u[x][:, None] < u[b]
                 p, q = np.nonzero(ok)
                 if len(p):
-                    p, q = u[x[p]], u[b[q]]
-                    yield np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1)
+                    p, q = x[p], b[q]
+                    yield np.stack([np.minimum(u[p], u[q]), np.maximum(u[p], u[q]), np.full(len(p), times), np.maximum(slack[p], slack[q]) + 1], axis=1)
+
+        def take(g: pd.DataFrame):
+            nonlocal held, n
+            for p in cell(g):
+                held.append(p)
+                n += len(p)
+            if len(held) > 400 and n > HELD:
+                held = [counted(held)]
+                n = len(held[0])
 
         for f in frames:
             f = f if carry is None else pd.concat([carry, f], ignore_index=True)
             if not len(f):
                 continue
-            edge = np.flatnonzero((f[keys].to_numpy()[1:] != f[keys].to_numpy()[:-1]).any(axis=1)) + 1
+            cells = f[keys].to_numpy()
+            edge = np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1
             starts = [0, *edge.tolist()]
             for s, e in zip(starts, edge.tolist()):
-                lead = (f["lead"].iat[s], f["part"].iat[s])
-                if lead != now or n > HELD:
-                    yield from empty()
-                    now = lead
-                for p in cell(f.iloc[s:e]):
-                    held.append(p)
-                    n += len(p)
-                    if len(held) > 200:
-                        held = [np.unique(np.concatenate(held), axis=0)]
-                        n = len(held[0])
+                lead = (cells[s, 0], cells[s, 1])
+                if lead != now:
+                    yield from send(True)
+                    now, here, whole = lead, [], True
+                elif n > 2 * HELD:
+                    yield from send(False)
+                take(f.iloc[s:e])
             carry = f.iloc[starts[-1] :]
         if carry is not None and len(carry):
-            held += list(cell(carry))
-        yield from empty()
+            lead = (carry["lead"].iat[0], carry["part"].iat[0])
+            if lead != now:
+                yield from send(True)
+                now, here, whole = lead, [], True
+            take(carry)
+        yield from send(True)
 
-    return d.mapInPandas(pairs, "u long, v long")
+    return d.mapInPandas(pairs, "u long, v long, n long, need long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -349,7 +384,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     tidy(spark)
     sets = met.where(F.col("what") == ROW).select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("c").alias("size"))
     twos = durable(met.where(F.col("what") == TWO).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("c").alias("n")))
-    lists = durable(met.where(F.col("what") == LIST).groupBy(F.col("a").alias("list"), F.col("b").alias("u")).agg(F.sum("c").alias("n"), F.max("d").alias("size"), F.max("e").alias("slack"), F.max("f").alias("scheme"), F.max("k").alias("k")))
+    lists = durable(met.where(F.col("what") == LIST).groupBy(F.col("a").alias("list"), F.col("b").alias("u")).agg(F.sum("c").alias("n"), F.max("d").alias("size"), F.max("e").alias("slack"), F.max("f").alias("up"), F.max("k").alias("k")))
     # The leader of a list is its node that shares most with all others: of near copies of a text, that text itself.
     degree = lists.groupBy(F.col("u").alias("_u")).agg(F.sum(F.col("n") * F.col("k")).alias("degree"))
     led = lists.join(degree, F.col("u") == F.col("_u")).groupBy(F.col("list").alias("_l")).agg(F.max(F.struct("degree", "u", "size")).alias("m")).select("_l", F.col("m.u").alias("lead"), F.col("m.size").alias("ls"))
@@ -362,15 +397,17 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     first = durable(first.distinct())
     links = _verified(first, docs, sets)
     comp = durable(components(links))
-    # Then what shares a signature and is not yet connected. A set need not probe its commonest signatures, as many as
-    # its slack allows: those left are still more than its largest difference to a partner.
+    # Then what shares enough signatures and is not yet connected.
     name = comp.select(F.col("id").alias("_id"), "component")
-    named = durable(lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "n", "size", "slack", "scheme", "k", "lead", F.coalesce("component", "u").alias("c")))
+    named = durable(lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "n", "size", "slack", "up", "k", "lead", F.coalesce("component", "u").alias("c")))
     mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("list").alias("_l")))
     named = durable(named.join(mixed, F.col("list") == F.col("_l"), "left_semi"))
-    common = Window.partitionBy("u", "scheme").orderBy(F.desc("k"), "list").rowsBetween(Window.unboundedPreceding, 0)
-    named = named.withColumn("probe", F.sum("n").over(common) > F.col("slack"))
-    more = _crossed(named.select("list", "lead", "k", "u", "size", "c", "probe"))
+    shared = named.select("u", "n").unionByName(twos.select("u", "n")).unionByName(twos.select(F.col("v").alias("u"), "n")).groupBy(F.col("u").alias("_u")).agg(F.sum("n").alias("weight"))
+    own = named.join(shared, F.col("u") == F.col("_u"))
+    crossed = durable(_crossed(own.select("list", "lead", "k", "u", "n", "size", "slack", "up", "weight", "c")).groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("need").alias("need")))
+    both = twos.groupBy(F.least("u", "v").alias("_u"), F.greatest("u", "v").alias("_v")).agg(F.sum("n").alias("n2"))
+    crossed = crossed.join(both, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left")
+    more = crossed.where(F.col("n") + F.coalesce("n2", F.lit(0)) >= F.col("need")).select("u", "v")
     ends = twos.join(name, F.col("u") == F.col("_id"), "left").select("u", "v", F.coalesce("component", "u").alias("uc"))
     ends = ends.join(name, F.col("v") == F.col("_id"), "left").where(F.col("uc") != F.coalesce("component", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = durable(more.unionByName(ends).distinct().join(first, ["u", "v"], "left_anti"))
