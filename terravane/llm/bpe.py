@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from ..session import ship
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STATES, PIECES = 200_000, 1_500_000  # bounds of the states and of the memo in one worker
+STATES, PIECES, PAIRS = 150_000, 700_000, 400_000  # bounds of the states, of the memo and of the tested pairs in one worker
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -141,7 +141,7 @@ class Transducer:
                     r = self.ranks.get(self.token[x] + self.token[y])
                     if r is not None and r < gone_x and r <= gone_y:
                         ok = False
-            if len(self.fits) >= 2_000_000:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             self.fits[key] = ok
         return ok
@@ -264,7 +264,7 @@ class Codec:
         return "".join([*(m.feed(x) for x in self.decode(packed)), m.end()])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
     """One for a Python worker. Its many small long-lived dicts make frequent full collections costly."""
     gc.set_threshold(200_000, 50, 100)
