@@ -32,7 +32,7 @@ EDGE, GAP = 31, -1
 #: Characters that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
-CACHE = 400_000
+CACHE = 250_000
 
 
 @lru_cache(maxsize=1)
