@@ -162,24 +162,19 @@ PACKAGES = f"""{es.SQL}, own AS (
 )"""
 
 
-def _small(spark, d):
-    """The estate whose coupling does not saturate: calls of the first orders."""
-    return es.containment(spark, d).unionByName(es.supplier_calls(spark, d))
-
-
 @query(f"""{PACKAGES}, o AS (SELECT fp, count(*) AS n, string_agg(tp, '|' ORDER BY tp) AS deps FROM pe GROUP BY 1), i AS (SELECT tp, count(*) AS n FROM pe GROUP BY 1)
 SELECT e.qn AS package, coalesce(o.n, 0) AS dependencies, coalesce(i.n, 0) AS dependents, coalesce(deps, '') AS depends_on,
  CASE WHEN coalesce(i.n, 0) >= 10 OR coalesce(o.n, 0) + coalesce(i.n, 0) >= 20 THEN 'HIGH' WHEN coalesce(i.n, 0) >= 4 OR coalesce(o.n, 0) + coalesce(i.n, 0) >= 8 THEN 'MEDIUM' ELSE 'LOW' END AS risk
 FROM ent e LEFT JOIN o ON o.fp = e.qn LEFT JOIN i ON i.tp = e.qn WHERE e.kind = 'PACKAGE'""")
 def package_coupling(spark, d):
-    return an.package_coupling(ent(spark, d), _small(spark, d))
+    return an.package_coupling(ent(spark, d), rel(spark, d))
 
 
 @query(f"""{PACKAGES.replace('WITH ent', 'WITH RECURSIVE ent')}, reach AS (SELECT fp, tp FROM pe UNION SELECT r.fp, p.tp FROM reach r JOIN pe p ON p.fp = r.tp),
 both_ways AS (SELECT a.fp, a.tp FROM reach a JOIN reach b ON a.fp = b.tp AND a.tp = b.fp WHERE a.fp <> a.tp)
 SELECT fp AS member, least(min(tp), fp) AS scc, count(*) + 1 AS size FROM both_ways GROUP BY fp""")
 def package_cycles_scc(spark, d):
-    p = an.package_edges(ent(spark, d), _small(spark, d))
+    p = an.package_edges(ent(spark, d), rel(spark, d))
     return gr.cycles(p.select(F.col("from_package").alias("a"), F.col("to_package").alias("b")))
 
 
