@@ -273,7 +273,7 @@ def build_membership(spark, d):
 
 def _named(spark, d):
     """Callables with the simple name n<nation> and one or two parameters."""
-    s = es.table(spark, d, "supplier").where("s_suppkey < 100")
+    s = es.table(spark, d, "supplier")
     sig = F.when(F.col("s_suppkey") % 2 == 0, "m(int a)").otherwise("m(int a, int b)")
     return es._entity(s, es._id("data:method:T", "s_suppkey"), "METHOD", es._id("n", "s_nationkey"), es._id("T#", "s_suppkey"), "data", attrs={"signature": sig})
 

@@ -56,3 +56,20 @@ def test_coupling_and_cycles_are_not_saturated(spark):
     assert {x.package: x.risk for x in an.package_coupling(e, r).collect()} == {f"p{i}": "MEDIUM" if i == 3 else "LOW" for i in range(n)}
     p = an.package_edges(e, r).selectExpr("from_package AS a", "to_package AS b")
     assert {x.member: (x.scc, x.size) for x in gr.cycles(p).collect()} == {f"p{i}": ("p0", 3) for i in range(3)}
+
+
+def test_names_of_all_suppliers(spark, tmp_path):
+    """Nation 0 has nine suppliers, nation 1 has eight, nation 2 one, all but two with keys of 100 and up."""
+    suppliers = [(1, 0), (2, 1), *((100 + i, 0) for i in range(8)), *((200 + i, 1) for i in range(7)), (300, 2)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_nationkey long").selectExpr("*", "'s' AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    events = [(i, "error", '{"k": %d}' % k) for i, k in enumerate([0, 1, 2, 3, 2])] + [(9, "view", '{"k": 1}')]
+    spark.createDataFrame(events, "user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    assert QUERIES["candidate_cap"](spark, d).first().asDict() == {"resolved": 3, "unresolved": 1, "ambiguous": 1}
+    eight = ["data:method:T2", *(f"data:method:T{200 + i}" for i in range(7))]
+    two = [("data:type:C2", "data:method:T300"), ("data:type:C4", "data:method:T300")]
+    links = lambda q: sorted((r.from_id, r.to_id) for r in QUERIES[q](spark, d).collect())
+    assert links("name_resolution") == sorted([("data:type:C1", x) for x in eight] + two)
+    # two arguments: of nation 0 four suppliers have odd keys and are under the cap, of nation 1 three; 300 is all there is
+    odd = lambda n: [f"data:method:T{k}" for k, of in suppliers if of == n and k % 2]
+    assert links("arity_resolution") == sorted([("data:type:C0", x) for x in odd(0)] + [("data:type:C1", x) for x in odd(1)] + two)
