@@ -115,21 +115,22 @@ def dependents(edges: DataFrame, target: str, direct: DataFrame, depth: int = 5)
     return seen.where("hop > 0")
 
 
-def expand(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """All simple paths of up to depth edges from many starts (id), those that end in a leaf or at the depth: start,
-    nodes, confidence. Distributed; for starts and depths whose paths the caller knows to be bounded."""
-    e = edges.select("from_id", "to_id", "confidence")
-    has = e.select(F.col("from_id").alias("_h")).distinct()
-    level = starts.select(F.col("id").alias("start"), F.array("id").alias("nodes"), F.lit(1.0).alias("confidence"), F.col("id").alias("last"))
+def expand(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """All simple paths of up to depth edges from many starts (id), those that no edge leads on to a new node, or that end
+    at the depth: start, nodes, confidence, last. Distributed; for edges whose paths the caller knows to be bounded. Of
+    parallel edges the surest is followed. Each level is written before the next."""
+    e = durable(edges.groupBy("from_id", F.col("to_id").alias("to")).agg(F.max("confidence").alias("ec")))
+    level = starts.select(F.col("id").alias("start"), F.array("id").alias("nodes"), F.lit(1.0).alias("confidence"), F.col("id").alias("last")).distinct()
     out = None
     for hop in range(1, depth + 1):
-        j = level.alias("l").join(e.alias("e"), F.col("l.last") == F.col("e.from_id"), "left")
-        j = j.select("start", "nodes", F.col("l.confidence").alias("c"), F.col("e.to_id").alias("to"), F.col("e.confidence").alias("ec"))
-        go = j.where(F.col("to").isNotNull() & ~F.array_contains("nodes", F.col("to")))
-        level = go.select("start", F.concat("nodes", F.array("to")).alias("nodes"), F.least("c", "ec").alias("confidence"), F.col("to").alias("last"))
-        ended = level if hop == depth else level.join(has, F.col("last") == F.col("_h"), "left_anti")
+        j = level.join(e, (F.col("last") == F.col("from_id")) & ~F.array_contains("nodes", F.col("to")), "inner" if hop == 1 else "left")
+        j = durable(j.select("start", "nodes", "confidence", "last", "to", "ec"))
+        ended = j.where("to IS NULL").select("start", "nodes", "confidence", "last")
         out = ended if out is None else out.unionByName(ended)
-    return out.select("start", "nodes", "confidence", "last")
+        level = j.where("to IS NOT NULL").select("start", F.concat("nodes", F.array("to")).alias("nodes"), F.least("confidence", "ec").alias("confidence"), F.col("to").alias("last"))
+        if level.isEmpty():
+            break
+    return out.unionByName(level)
 
 
 def best_path_per_start(paths: DataFrame, entities: DataFrame) -> DataFrame:

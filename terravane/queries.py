@@ -344,8 +344,8 @@ r AS (SELECT *, e LIKE 'sql:%' AS store, row_number() OVER (PARTITION BY s ORDER
 SELECT s AS start, array_to_string(n, '|') AS path, round(c, 2) AS confidence, store FROM r WHERE k = 1""")
 def best_path_per_start(spark, d):
     e = es.invocations(spark, d).unionByName(es.touches(spark, d).where("kind <> 'USES'"))
-    starts = es.table(spark, d, "orders").where("o_custkey < 20").select(es._id("data:method:O", "o_orderkey").alias("id"))
-    paths = gr.expand(gr.lineage_edges(e, floor=0.0), starts, 2)
+    starts = es.table(spark, d, "orders").select(es._id("data:method:O", "o_orderkey").alias("id"))
+    paths = gr.expand(gr.lineage_edges(e, floor=0.0), starts)
     return gr.best_path_per_start(paths, ent(spark, d)).withColumn("confidence", F.round("confidence", 2))
 
 

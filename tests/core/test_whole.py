@@ -5,6 +5,7 @@ import pytest
 
 from terravane.operators import analysis as an
 from terravane.operators import graph as gr
+from terravane.plans import estate as es
 from terravane.queries import ORACLES, QUERIES
 
 from .fixtures import edges, entities
@@ -73,3 +74,44 @@ def test_names_of_all_suppliers(spark, tmp_path):
     # two arguments: of nation 0 four suppliers have odd keys and are under the cap, of nation 1 three; 300 is all there is
     odd = lambda n: [f"data:method:T{k}" for k, of in suppliers if of == n and k % 2]
     assert links("arity_resolution") == sorted([("data:type:C0", x) for x in odd(0)] + [("data:type:C1", x) for x in odd(1)] + two)
+
+
+def best_by_brute_force(out, starts, store, depth=8):
+    """Best simple path of each start, by depth-first search. out: node to {neighbour: surest confidence}."""
+    best = {}
+    for s in starts:
+        stack = [([s], 1.0)]
+        while stack:
+            path, c = stack.pop()
+            more = [(t, x) for t, x in out.get(path[-1], {}).items() if t not in path] if len(path) <= depth else []
+            stack += [([*path, t], min(c, x)) for t, x in more]
+            if not more and len(path) > 1:
+                own = (not store(path[-1]), -len(path), -c, path[-1], "|".join(path))
+                best[s] = min(best.get(s, own), own)
+    return {s: (p, round(-c, 2), not k) for s, (k, _, c, _, p) in best.items()}
+
+
+def surest(rows):
+    out = {}
+    for a, b, c in rows:
+        out.setdefault(a, {})[b] = max(c, out.get(a, {}).get(b, 0.0))
+    return out
+
+
+def test_best_path_of_every_order(spark):
+    from terravane.model import confidence
+
+    e = es.invocations(spark, DATA).unionByName(es.touches(spark, DATA).where("kind <> 'USES'")).where("status <> 'UNRESOLVED'")
+    out = surest((r.from_id, r.to_id, r.c) for r in e.select("from_id", "to_id", confidence().alias("c")).collect())
+    starts = [f"data:method:O{r[0]}" for r in es.table(spark, DATA, "orders").select("o_orderkey").collect()]
+    want = best_by_brute_force(out, starts, lambda n: n.startswith("sql:"))
+    got = {r.start: (r.path, r.confidence, r.store) for r in QUERIES["best_path_per_start"](spark, DATA).collect()}
+    assert got == want and max(p.count("|") for p, _, _ in got.values()) == 8
+
+
+def test_expand_on_cycles_and_parallel_edges(spark):
+    rows = [("a", "b", 0.5), ("a", "b", 0.9), ("b", "a", 0.8), ("b", "c", 0.7), ("c", "b", 1.0), ("d", "d", 1.0), ("c", "t", 0.6)]
+    e = spark.createDataFrame(rows, "from_id string, to_id string, confidence double")
+    starts = spark.createDataFrame([(x,) for x in "abdt"], "id string")
+    got = sorted(("".join(r.nodes), r.confidence) for r in gr.expand(e, starts, 8).collect())
+    assert got == [("abct", 0.6), ("ba", 0.8), ("bct", 0.6)]
