@@ -72,8 +72,7 @@ def callees(spark, d):
 
 @query(f"{VISIBLE} SELECT to_id AS entity_id, from_id AS other_id, v.kind AS edge_kind FROM vis v JOIN ent e ON e.id = from_id WHERE to_id LIKE 'data:type:S%'")
 def dependents_antijoin(spark, d):
-    own = rel(spark, d).where(F.col("to_id").startswith("data:type:S"))
-    return nb.neighbors(ent(spark, d), own, None).select("entity_id", "other_id", "edge_kind")
+    return nb.neighbors(ent(spark, d), rel(spark, d), None).select("entity_id", "other_id", "edge_kind")
 
 
 @query(f"{VISIBLE} SELECT to_id AS other_id, v.kind AS edge_kind, e.kind AS other_kind, round(conf, 2) AS confidence FROM vis v JOIN ent e ON e.id = to_id WHERE from_id = '{START}'")

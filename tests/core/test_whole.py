@@ -5,6 +5,7 @@ import pytest
 
 from terravane.operators import analysis as an
 from terravane.operators import graph as gr
+from terravane.operators import neighbors as nb
 from terravane.plans import estate as es
 from terravane.queries import ORACLES, QUERIES
 
@@ -115,3 +116,14 @@ def test_expand_on_cycles_and_parallel_edges(spark):
     starts = spark.createDataFrame([(x,) for x in "abdt"], "id string")
     got = sorted(("".join(r.nodes), r.confidence) for r in gr.expand(e, starts, 8).collect())
     assert got == [("abct", 0.6), ("ba", 0.8), ("bct", 0.6)]
+
+
+def test_dependents_of_everything(spark, con):
+    same(spark, con, "dependents_antijoin", whole("dependents_antijoin").replace(" WHERE to_id LIKE 'data:type:S%'", ""))
+
+
+def test_dependents_hide_calls_that_are_invoked(spark):
+    e = entities(spark, [(i, "METHOD", i, i, {}) for i in "abc"])
+    r = edges(spark, [("a", "b", "CALLS", "RESOLVED", {}), ("a", "b", "INVOKES", "RESOLVED", {}), ("c", "b", "CALLS", "RESOLVED", {}), ("b", "c", "INVOKES", "RESOLVED", {}), ("b", "gone", "CALLS", "RESOLVED", {}), ("gone", "a", "CALLS", "RESOLVED", {})])
+    got = sorted((x.entity_id, x.other_id, x.edge_kind) for x in nb.neighbors(e, r, None).collect())
+    assert got == [("b", "a", "INVOKES"), ("b", "c", "CALLS"), ("c", "b", "INVOKES"), ("gone", "b", "CALLS")]
