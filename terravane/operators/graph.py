@@ -133,6 +133,38 @@ def expand(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame
     return out.unionByName(level)
 
 
+def reachable(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """start and id: what each start (id) reaches over up to depth edges, itself included. Pairs are joined level by level
+    and met once, so the work is bounded by pairs, not by paths; each level is written before the next."""
+    e = durable(edges.select("from_id", "to_id").distinct())
+    seen = level = durable(starts.select(F.col("id").alias("start"), "id").distinct())
+    for _ in range(depth):
+        nxt = level.join(e, F.col("id") == F.col("from_id")).select("start", F.col("to_id").alias("id")).distinct()
+        level = durable(nxt.join(seen.select(F.col("start").alias("_s"), F.col("id").alias("_i")), (F.col("start") == F.col("_s")) & (F.col("id") == F.col("_i")), "left_anti"))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
+def trace_all(edges: DataFrame, starts: DataFrame, depth: int = DEPTH, most: int = MAX_PATHS) -> DataFrame:
+    """The paths that a trace down from each start (id) gives, `most` for a start: start, nodes, confidence, last. As in
+    _walk, paths are in depth-first order and each level keeps the first `most`, which later ones cannot come before."""
+    e = durable(edges.select("from_id", F.col("to_id").alias("to"), "kind", F.col("confidence").alias("ec")))
+    mark = F.lit("\x01")
+    level = durable(starts.select(F.col("id").alias("start"), F.lit("").alias("rank"), F.array("id").alias("nodes"), F.lit(1.0).alias("confidence"), F.lit(True).alias("open")).distinct())
+    first = Window.partitionBy("start").orderBy("rank", "open")
+    for _ in range(depth):
+        j = level.where("open").withColumn("last", F.element_at("nodes", -1)).join(e, (F.col("last") == F.col("from_id")) & ~F.array_contains("nodes", F.col("to")), "left")
+        on = F.col("to").isNotNull()
+        new = j.select("start", F.when(on, F.concat("rank", mark, "kind", mark, "to")).otherwise(F.col("rank")).alias("rank"), F.when(on, F.concat("nodes", F.array("to"))).otherwise(F.col("nodes")).alias("nodes"), F.when(on, F.least("confidence", "ec")).otherwise(F.col("confidence")).alias("confidence"), on.alias("open"))
+        both = new.where("open OR size(nodes) > 1").unionByName(level.where("NOT open"))
+        level = durable(both.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= most).drop("_rn"))
+        if level.where("open").isEmpty():
+            break
+    return level.select("start", "nodes", "confidence", F.element_at("nodes", -1).alias("last"))
+
+
 def best_path_per_start(paths: DataFrame, entities: DataFrame) -> DataFrame:
     """Of each start's paths: one that ends in a store, then the longest, the surest, the smallest end."""
     kinds = entities.select(F.col("id").alias("_e"), F.col("kind").isin("DATABASE_OBJECT", "DATA_SINK", "VARIABLE").alias("store"))

@@ -15,6 +15,7 @@ from .operators import analysis as an
 from .operators import graph as gr
 from .operators import neighbors as nb
 from .reports import page, table, to_json
+from .session import durable
 
 INVENTORY = {
     "modules": ("MODULE",), "packages": ("PACKAGE",), "types": ("CLASS", "INTERFACE", "ENUM", "RECORD", "TYPE", "PROTECTED_TYPE"), "behaviours": ("METHOD", "CONSTRUCTOR", "FUNCTION", "PROCEDURE"), "tasks": ("TASK",), "fields": ("FIELD",), "state": ("VARIABLE",),
@@ -30,16 +31,20 @@ BOUNDARIES = {
 
 
 def lineage_coverage(api: Api) -> dict:
-    """Endpoints, those with a path to a store, repositories and mapped ones, edges by status."""
+    """Endpoints, those with a path to a store, repositories and mapped ones, edges by status; of the endpoints' traces
+    (100 paths each at most) those that meet a store are complete, the others partial."""
     e, r = api.entities, api.relationships
     own = gr.lineage_edges(r)
     ends = e.where("kind = 'ENDPOINT'").select("id")
     stores = e.where("kind IN ('DATABASE_OBJECT', 'DATA_SINK')").select(F.col("id").alias("_s"))
-    reached = gr.expand(own, ends, 6).select("start", F.explode("nodes").alias("n")).join(stores, F.col("n") == F.col("_s"), "left_semi").select("start").distinct()
+    reached = gr.reachable(own, ends).join(stores, F.col("id") == F.col("_s"), "left_semi").select("start").distinct()
+    paths = gr.trace_all(own, ends).select("start", F.monotonically_increasing_id().alias("no"), "nodes")
+    total = paths.count()
+    complete = paths.select("no", F.explode("nodes").alias("n")).join(stores, F.col("n") == F.col("_s"), "left_semi").select("no").distinct().count()
     status = {x["status"]: x["count"] for x in r.where(F.col("kind").isin(*LINEAGE_KINDS)).groupBy("status").count().collect()}
     repos = e.where(bool_attr("springDataRepository"))
     mapped = r.where("kind = 'PERSISTS_TO'").select("from_id").distinct()
-    return {"endpoints": ends.count(), "endpointsWithStore": reached.count(), "repositories": repos.count(), "mapped": mapped.count(), "status": dict(sorted(status.items()))}
+    return {"endpoints": ends.count(), "endpointsWithStore": reached.count(), "repositories": repos.count(), "mapped": mapped.count(), "status": dict(sorted(status.items())), "completePaths": complete, "partialPaths": total - complete}
 
 
 def endpoint_views(api: Api) -> DataFrame:
@@ -181,13 +186,15 @@ def responsibility(kind: str, role: str | None, language: str) -> str:
 
 
 def lineage_samples(api: Api, most: int = 5) -> list[dict]:
-    """Best path of each start, scored; one Java and one Ada path are sure of a place where there are any."""
-    starts = entry_points(api).select("id").orderBy("id").limit(200)
-    p = gr.best_path_per_start(gr.expand(gr.lineage_edges(api.relationships), starts, 4), api.entities)
-    rows = sorted(records(p), key=lambda r: (-(10 * r["store"] + r["path"].count("|") + r["confidence"]), r["start"]))
-    sure = [next((r for r in rows if r["start"].startswith(f"{l}:")), None) for l in ("java", "ada")]
-    out = [r for r in sure if r]
-    return out + [r for r in rows if r not in out][: max(0, most - len(out))]
+    """Best path of the trace of each entry point and data source, scored; one Java and one Ada path are sure of a place
+    where there are any."""
+    sources = api.entities.where("kind = 'DATA_SOURCE'").select("id")
+    starts = entry_points(api).select("id").unionByName(sources).distinct()
+    p = durable(gr.best_path_per_start(gr.trace_all(gr.lineage_edges(api.relationships), starts), api.entities))
+    score = 10 * F.col("store").cast("int") + F.size(F.split("path", "\\|")) - 1 + F.col("confidence")
+    top = lambda x, n: records(x.orderBy(score.desc(), "start").limit(n))
+    out = [r for l in ("java", "ada") for r in top(p.where(F.col("start").startswith(f"{l}:")), 1)]
+    return out + [r for r in top(p, most) if r not in out][: max(0, most - len(out))]
 
 
 def reading_order(api: Api) -> list[dict]:

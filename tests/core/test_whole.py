@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from terravane import workflows
+from terravane.api import Api
 from terravane.operators import analysis as an
 from terravane.operators import graph as gr
 from terravane.operators import neighbors as nb
@@ -127,3 +129,43 @@ def test_dependents_hide_calls_that_are_invoked(spark):
     r = edges(spark, [("a", "b", "CALLS", "RESOLVED", {}), ("a", "b", "INVOKES", "RESOLVED", {}), ("c", "b", "CALLS", "RESOLVED", {}), ("b", "c", "INVOKES", "RESOLVED", {}), ("b", "gone", "CALLS", "RESOLVED", {}), ("gone", "a", "CALLS", "RESOLVED", {})])
     got = sorted((x.entity_id, x.other_id, x.edge_kind) for x in nb.neighbors(e, r, None).collect())
     assert got == [("b", "a", "INVOKES"), ("b", "c", "CALLS"), ("c", "b", "INVOKES"), ("gone", "b", "CALLS")]
+
+
+def estate(spark, e, r):
+    none = spark.createDataFrame([], "status string")
+    return Api(spark, entities(spark, e), edges(spark, r), none, none, "s")
+
+
+def test_coverage_and_samples_follow_eight_edges(spark):
+    """An endpoint whose table is 8 edges away, one 9 away, and one without a table."""
+    def chain(name, n):
+        ids = [f"java:endpoint:{name}", *(f"java:method:{name}{i}" for i in range(1, n)), f"sql:table:{name}"]
+        kinds = ["ENDPOINT", *["METHOD"] * (n - 1), "DATABASE_OBJECT"]
+        return [(i, k, i, i, {}) for i, k in zip(ids, kinds)], [(a, b, "INVOKES", "RESOLVED", {}) for a, b in zip(ids, ids[1:])]
+
+    (e8, r8), (e9, r9) = chain("A", 8), chain("B", 9)
+    api = estate(spark, [*e8, *e9, ("java:endpoint:C", "ENDPOINT", "C", "C", {})], [*r8, *r9, ("java:endpoint:C", "java:method:B8", "INVOKES", "UNRESOLVED", {})])
+    c = workflows.lineage_coverage(api)
+    assert (c["endpoints"], c["endpointsWithStore"], c["completePaths"], c["partialPaths"]) == (3, 1, 1, 1)
+    got = {r["start"]: (r["store"], r["path"].count("|")) for r in workflows.lineage_samples(api)}
+    assert got == {"java:endpoint:A": (True, 8), "java:endpoint:B": (False, 8)}
+
+
+def test_samples_see_every_start(spark):
+    tasks = [(f"ada:task:t{i:03d}", "TASK", "t", f"t{i}", {}) for i in range(201)]
+    api = estate(spark, [*tasks, ("java:endpoint:z", "ENDPOINT", "z", "z", {}), ("sql:table:x", "DATABASE_OBJECT", "x", "x", {})], [(t[0], "v", "INVOKES", "RESOLVED", {}) for t in tasks] + [("java:endpoint:z", "sql:table:x", "READS_FROM", "RESOLVED", {})])
+    got = workflows.lineage_samples(api)
+    assert [r["start"] for r in got] == ["java:endpoint:z", *(f"ada:task:t{i:03d}" for i in range(4))]
+
+
+def test_trace_all_equals_single_traces(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}", rnd.choice(["INVOKES", "MAPS_TO"]), "RESOLVED", {"confidence": rnd.choice(["0.95", "0.50"])}) for _ in range(34)]
+    e, r = entities(spark, [(f"n{i}", "METHOD", f"n{i}", f"n{i}", {}) for i in range(14)]), edges(spark, rows)
+    starts = ["n0", "n3"]
+    got = gr.trace_all(gr.lineage_edges(r), spark.createDataFrame([(s,) for s in starts], "id string"), 5, 6).collect()
+    for s in starts:
+        want = sorted((list(p.nodes), p.confidence) for p in gr.trace(e, r, s, depth=5, most=6).paths.collect())
+        assert sorted((list(p.nodes), p.confidence) for p in got if p.start == s) == want and want
