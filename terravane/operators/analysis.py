@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import AGGREGATING, CALLABLES, COUPLING_USAGE, DEAD_CANDIDATES, DEAD_USAGE, attr, bool_attr, int_attr, last_segment
+from ..session import durable
 from .neighbors import fan
 
 
@@ -36,17 +37,18 @@ def dead_code(entities: DataFrame, edges: DataFrame, minimum: int = 60) -> DataF
     return c.select("id", "qualified_name", "kind", score.alias("confidence"), F.coalesce("_maybe", F.lit(False)).alias("name_is_called")).where(F.col("confidence") >= minimum)
 
 
-def entity_to_package(entities: DataFrame, edges: DataFrame, depth: int = 12) -> DataFrame:
+def entity_to_package(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Each contained entity with its package: containment is followed down, not into nested packages. Where several
-    packages reach an entity, the smallest id is taken. Levels are joined until one adds nothing."""
+    packages reach an entity, the smallest id is taken. Levels are joined until one adds nothing; each is written before
+    the next."""
     kinds = entities.select("id", (F.col("kind") == "PACKAGE").alias("is_package"))
     packages = entities.where("kind = 'PACKAGE'").select("id", F.col("id").alias("package_id"), F.col("qualified_name").alias("package"))
-    down = edges.where("kind = 'CONTAINS'").select("from_id", "to_id").join(kinds, F.col("to_id") == F.col("id")).where("NOT is_package").select("from_id", "to_id")
-    level, out = packages, packages
-    for _ in range(depth):
-        level = level.join(down, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id"), "package_id", "package")
-        if level.isEmpty():
-            break
+    down = durable(edges.where("kind = 'CONTAINS'").select("from_id", "to_id").join(kinds, F.col("to_id") == F.col("id")).where("NOT is_package").select("from_id", "to_id"))
+    level = out = durable(packages)
+    while not level.isEmpty():
+        nxt = level.join(down, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id"), "package_id", "package").distinct()
+        seen = out.select(F.col("id").alias("_i"), F.col("package_id").alias("_p"))
+        level = durable(nxt.join(seen, (F.col("id") == F.col("_i")) & (F.col("package_id") == F.col("_p")), "left_anti"))
         out = out.unionByName(level)
     return out.groupBy("id").agg(F.min(F.struct("package_id", "package")).alias("p")).select("id", "p.package_id", "p.package")
 

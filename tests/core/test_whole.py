@@ -169,3 +169,13 @@ def test_trace_all_equals_single_traces(spark):
     for s in starts:
         want = sorted((list(p.nodes), p.confidence) for p in gr.trace(e, r, s, depth=5, most=6).paths.collect())
         assert sorted((list(p.nodes), p.confidence) for p in got if p.start == s) == want and want
+
+
+def test_package_of_deeply_nested_entities(spark):
+    n = 15
+    e = entities(spark, [("p", "PACKAGE", "p", "p", {}), ("q", "PACKAGE", "q", "q", {}), ("r", "CLASS", "r", "r", {})] + [(f"c{i:02d}", "CLASS", "c", f"c{i}", {}) for i in range(n)])
+    inside = [("p", "c00"), *((f"c{i:02d}", f"c{i + 1:02d}") for i in range(n - 1)), (f"c{n - 1:02d}", "c03"), ("c05", "q"), ("q", "r")]
+    r = edges(spark, [(a, b, "CONTAINS", "DISCOVERED", {}) for a, b in inside] + [(f"c{n - 1:02d}", "r", "CALLS", "RESOLVED", {})])
+    got = {x.id: x.package for x in an.entity_to_package(e, r).collect()}
+    assert got == {"p": "p", "q": "q", "r": "q", **{f"c{i:02d}": "p" for i in range(n)}}
+    assert [tuple(x) for x in an.package_edges(e, r).collect()] == [("p", "q")]
