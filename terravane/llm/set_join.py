@@ -346,12 +346,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             node, packed = [], []
             for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(t)
-                if len(s) and node_of(s) == n:  # rows may share an id
-                    node.append(n)
+                if len(s) and (n is None or node_of(s) == n):  # rows may share an id
+                    node.append(node_of(s))
                     packed.append(pack_set(s))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["node", "s"])
 
-    packed = durable(texts.mapInArrow(pack, "node long, s binary"))
+    # a null id finds no text: the nodes of those rows are made again from their texts
+    lost = docs.where("id IS NULL AND text IS NOT NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(pack, "node long, s binary")
+    lost = lost.join(rows.where("_rid IS NULL").select(F.col("node").alias("_l")), F.col("node") == F.col("_l"), "left_semi").dropDuplicates(["node"])
+    packed = durable(texts.mapInArrow(pack, "node long, s binary").unionByName(lost))
     tidy(docs.sparkSession)
     j = pairs.join(packed.select(F.col("node").alias("_a"), F.col("s").alias("sa")), F.col("u") == F.col("_a")).drop("_a")
     j = j.join(packed.select(F.col("node").alias("_b"), F.col("s").alias("sb")), F.col("v") == F.col("_b")).drop("_b")
