@@ -259,6 +259,16 @@ class Codec:
         for k in range(0, len(ids), 1 << 16):
             yield b"".join(map(get, ids[k : k + (1 << 16)].tolist()))
 
+    def verified(self, packed: bytes, text: str | None) -> tuple[str, bool]:
+        """SHA-256 of the decoded bytes, and whether the decoded text, met chunk by chunk, is this text."""
+        h, m, text, at, same = hashlib.sha256(), Utf8Machine(), text or "", 0, True
+        for x in self.decode(packed):
+            h.update(x)
+            t = m.feed(x)
+            same, at = same and text.startswith(t, at), at + len(t)
+        t = m.end()
+        return h.hexdigest(), same and text.startswith(t, at) and at + len(t) == len(text)
+
     def decode_text(self, packed: bytes) -> str:
         m = Utf8Machine()
         return "".join([*(m.feed(x) for x in self.decode(packed)), m.end()])
@@ -294,14 +304,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             n, lists, a, z, same = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 packed = c.encode(t)
-                h, got = hashlib.sha256(), hashlib.sha256((t or "").encode("utf-8", "surrogatepass"))
-                for x in c.decode(packed):
-                    h.update(x)
+                digest, whole = c.verified(packed, t)
                 n.append(len(packed) // 4)
                 lists.append(np.frombuffer(packed, "<i4") if ids else None)
                 a.append(hashlib.sha256(packed).hexdigest())
-                z.append(h.hexdigest())
-                same.append(h.digest() == got.digest())
+                z.append(digest)
+                same.append(whole)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(a, pa.string()), pa.array(z, pa.string()), pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     d = docs.select(id_col, text_col)
