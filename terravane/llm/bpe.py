@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
+from .common import give_back
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 STATES, PIECES, PAIRS = 150_000, 700_000, 400_000  # bounds of the states, of the memo and of the tested pairs in one worker
@@ -311,6 +312,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 z.append(digest)
                 same.append(whole)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(a, pa.string()), pa.array(z, pa.string()), pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
+        give_back()
 
     d = docs.select(id_col, text_col)
     kind = d.schema[id_col].dataType.simpleString()

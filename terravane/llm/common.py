@@ -56,34 +56,47 @@ class WordHash(dict):
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_R = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r ** i and r ** -i modulo 2 ** 64, for i below n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 14, 1 << (n - 1).bit_length())
-        out = []
-        for r in (_R, pow(_R, -1, 1 << 64)):
-            x = np.full(size, r, dtype=np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+#: Mask of the first n bytes of a little-endian word of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+LONG_WORD = 128
 
 
 def hash_words(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word of the text, A-Z lower-cased, computed over the bytes of all words at once."""
+    """A 64-bit hash of each word of the text, A-Z lower-cased: eight bytes at a time, mixed between, over all words at once.
+
+    Words over LONG_WORD bytes are hashed one by one.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     if not raw:
         return np.zeros(0, dtype=np.uint64)
-    b = np.frombuffer(raw, dtype=np.uint8)
-    space = _SPACE[b]
-    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(b) + 1)
-    h = np.zeros(len(b) + 1, dtype=np.uint64)
+    b = np.frombuffer(raw + bytes(8), dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[b[: len(raw)]], prepend=True, append=True))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eights = np.ndarray(len(raw) + 1, dtype="<u8", buffer=b, strides=(1,))
     with np.errstate(over="ignore"):
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=h[1:])
-        return mix64((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64))
+        h = mix64((eights[start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        at = 8
+        while len(more):
+            left = size[more] - at
+            h[more] = mix64(h[more] * np.uint64(0xD6E8FEB86659FD93) + (eights[start[more] + at] & _FIRST[np.minimum(left, 8)]))
+            more, at = more[left > 8], at + 8
+    if (long := np.flatnonzero(size > LONG_WORD)).size:
+        import xxhash
+
+        for i in long:
+            h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]])
+    return h
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept between stages, and what they hold counts."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

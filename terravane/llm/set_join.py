@@ -13,27 +13,29 @@ where even that does not cover H, one signature for the scheme. Of two partners
 segments, or both publish the neighbourhoods. So no link is lost; candidates are verified exactly.
 
 Equal sets are one node from the start. Signatures travel packed: a chunk of documents sends each range of the
-signatures one sorted array. What components need is connectivity, so a signature shared by many nodes first gives a
-star; after one pair of each node is verified, only pairs whose nodes are in different components are still verified. A
-group of thousands of near copies thus costs about its size, not its square. And as at most H of a set's non-empty
-segments differ from a partner's, pairs must share the rest: passages that very many documents share make few candidates.
+signatures one sorted array. As at most H of a set's non-empty segments differ from a partner's, each node leaves out its
+commonest signatures as far as that bound has slack. What components need is connectivity: lists with one leading node
+are a group, each node is first verified with a leader, and only pairs of a group in different components go on. These are
+held against one another where they meet, cell by cell, by sketches that bound the difference of two sets from below;
+the few pairs left are verified on the sets. So a group of thousands of near copies, or of texts that share a long
+passage, sends on about its size, not its square.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, release, ship, tidy
-from .common import hash_words, mix64
+from .common import give_back, hash_words, mix64
 from .components import components
 
 N, CHUNK = 5, 2000
 PER_RANGE = 3_000_000
-LOAD, TILE, HELD = 500_000, 2048, 2_000_000
+#: Nodes of a tile: at least SPREAD, so that middling groups give many cells, at most TILE; bytes of its sketches.
+SPREAD, TILE, CELL_BYTES = 256, 4096, 16_000_000
 #: Bounds of the size bands: each at least 4/3 of the one before.
 BANDS = [3]
 while BANDS[-1] < 1 << 40:
@@ -102,15 +104,33 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
 
 
 def pack_set(s: np.ndarray) -> bytes:
-    """A sorted set as the differences of its upper 40 bits, byte plane by byte plane: about four bytes an element. Two
-    elements of a pair of sets fall together by chance once in 2 ** 40."""
-    return np.diff(s >> np.uint64(24), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+    """A sorted set as the differences of its elements, byte plane by byte plane; the upper planes compress away."""
+    return np.diff(s, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unpack_set(b: bytes) -> np.ndarray:
-    planes = np.zeros((len(b) // 5, 8), dtype=np.uint8)
-    planes[:, :5] = np.frombuffer(b, np.uint8).reshape(5, -1).T
-    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def sketch_bits(band: int) -> int:
+    """Four to eight bits for each element of the largest set of the band; a power of two."""
+    return max(64, 1 << (4 * BANDS[band + 1] - 1).bit_length())
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """One bit for each of many narrow segments: the parity of the set's elements there. Every element that is in one of
+    two sets only turns one bit, so two sketches differ in at most as many bits as the sets differ in elements."""
+    bits = sketch_bits(int(np.searchsorted(_BANDS, len(s), side="right")) - 1) if len(s) >= 3 else 64
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(b: bytes, size: int) -> bytes:
+    """The sketch of the same set with `size` bytes: bits that fall together are added."""
+    x = np.frombuffer(b, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -167,6 +187,8 @@ def _published(docs: DataFrame, ranges: int) -> DataFrame:
                         rows.append((i, ((own & ~np.uint64(0x7FFF)) | to[number]).tobytes(), nodes[used].tobytes(), info[used].tobytes(), [], [], []))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3)), *(pa.array([r[k] for r in rows], longs) for k in (4, 5, 6))], names=["rng", "packed", "nodes", "info", "ids", "row_node", "row_size"])
+        seen.clear()
+        give_back()
 
     return docs.mapInArrow(run, "rng int, packed binary, nodes binary, info binary, ids array<bigint>, row_node array<bigint>, row_size array<bigint>")
 
@@ -224,152 +246,158 @@ def _met(t: pa.Table) -> pa.Table:
         long = np.flatnonzero(count >= 3)
         e = spread(long)
         n, of = at[e], np.repeat(long, count[long])
-        rows.append((LIST, content[of].astype(np.int64), nodes[n], times[of], info[n, 0], info[n, 1 + role[e]], role[e].astype(np.int32), count[of]))
+        rows.append((LIST, content[of].astype(np.int64), nodes[n], times[of], info[n, 0], info[n, 1 + role[e]], (2 * scheme[of] + role[e]).astype(np.int32), count[of]))
     out = []
     for what, *cols in rows:
         n = len(cols[0])
         arrays = [pa.array(np.full(n, what, np.int32))] + [pa.nulls(n, pa.int32() if i == 5 else pa.int64()) if x is None else x if isinstance(x, pa.Array) else pa.array(x) for i, x in enumerate(cols)]
         out.append(pa.Table.from_arrays(arrays, names=["what", "a", "b", "c", "d", "e", "f", "k"]))
+    give_back()
     return pa.concat_tables(out)
 
 
-def _crossed(named: DataFrame) -> DataFrame:
-    """named: list, lead, k (its nodes), u, n (its signatures), size, slack, up (role 1), weight (all of u's signatures
-    that are shared), c. Pairs (u, v) of a list's nodes in different components and of fitting sizes, with n, how many
-    signatures they share, and need, how many partners must share; a pair may come in several rows.
-
-    Of x's non-empty segments at most H differ from a partner's, so partners share more than x's slack. Lists with the
-    same leading node hold much the same nodes, so they are dealt together and counted in one place; what a pair can
-    share elsewhere is at most what its nodes have elsewhere, and a pair that cannot reach its need goes at once. A
-    leader's lists are dealt over more tasks beyond LOAD rows; a long list is cut into tiles whose pairs are cells of
-    their own; beyond HELD pairs the counts so far are sent on. So no group has to fit a task.
+def _cell(u, c, size, up, tile, sketches, i: int, j: int):
+    """Pairs of rows of tile i with rows of tile j in different components, of fitting sizes, and whose sketches differ
+    in no more bits than similar sets may differ in elements. Arrays (u, v), u < v."""
+    a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    for k in range(0, len(a), 128):
+        x = a[k : k + 128]
+        ok = (c[x][:, None] != c[b]) & ~(up[x][:, None] & up[b]) & (4 * size[x][:, None] >= 3 * size[b]) & (4 * size[b] >= 3 * size[x][:, None])
+        if i == j:
+            ok &= u[x][:, None] < u[b]
+        p, q = np.nonzero(ok)
+        step = max(1, (1 << 21) // sketches.shape[1])
+        for m in range(0, len(p), step):
+            y, z = x[p[m : m + step]], b[q[m : m + step]]
+            near = np.bitwise_count(sketches[y] ^ sketches[z]).sum(axis=1, dtype=np.int64) <= (size[y] + size[z]) // 7
+            y, z = u[y[near]], u[z[near]]
+            if len(y):
+                yield np.minimum(y, z), np.maximum(y, z)
+
+
+def _crossed(grouped: DataFrame, packed: DataFrame) -> DataFrame:
+    """grouped: lead, scheme, u, size, up, c, one row for each node of a group. packed: _n, k (sketch). The pairs (u, v) of
+    a group's nodes that are in different components and may be similar, by size and sketch.
+
+    A group is cut into tiles by a hash of the node, and each pair of tiles is a cell of its own, so no group has to fit
+    a task; all that a cell sends on is pairs that survive the sketches.
     """
-    spark = named.sparkSession
+    spark = grouped.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    load = durable(named.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / LOAD).cast("int").alias("parts")).where("parts > 1").select(F.col("lead").alias("_lead"), "parts"))
-    tiles = F.ceil(F.col("k") / TILE).cast("int")
-    d = named.join(load, F.col("lead") == F.col("_lead"), "left").withColumn("part", F.pmod(F.col("list"), F.coalesce("parts", F.lit(1))))
-    d = d.withColumn("tile", F.pmod(F.xxhash64("u"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    d = d.select("lead", "part", "list", F.least("o", "tile").alias("i"), F.greatest("o", "tile").alias("j"), "tile", "u", "n", "size", "slack", "up", "weight", "c")
-    d = d.repartition(width, "lead", "part").sortWithinPartitions("lead", "part", "list", "i", "j", "u")
-
-    def counted(rows: list[np.ndarray]) -> np.ndarray:
-        """Rows (u, v, n, need), one a pair: n summed, need the largest."""
-        p = np.concatenate(rows)
-        p = p[np.lexsort((p[:, 1], p[:, 0]))]
-        first = np.flatnonzero(np.concatenate([[True], (p[1:, :2] != p[:-1, :2]).any(axis=1)]))
-        return np.stack([p[first, 0], p[first, 1], np.add.reduceat(p[:, 2], first), np.maximum.reduceat(p[:, 3], first)], axis=1)
-
-    def pairs(frames):
-        keys, carry, held, n, now = ["lead", "part", "list", "i", "j"], None, [], 0, None
-        here: list[np.ndarray] = []  # (u, n, weight) of the lists met since the leader began
-        whole = True
-
-        def send(last: bool):
-            nonlocal held, n, here, whole
-            if held:
-                p = counted(held)
-                if last and whole:
-                    h = np.concatenate(here)
-                    u, at = np.unique(h[:, 0], return_inverse=True)
-                    away = h[np.unique(at, return_index=True)[1], 2] - np.bincount(at, weights=h[:, 1]).astype(np.int64)
-                    least = np.minimum(away[np.searchsorted(u, p[:, 0])], away[np.searchsorted(u, p[:, 1])])
-                    p = p[p[:, 2] + np.maximum(least, 0) >= p[:, 3]]
-                whole = False
-                for k in range(0, len(p), 1 << 16):
-                    q = p[k : k + (1 << 16)]
-                    yield pd.DataFrame({"u": q[:, 0], "v": q[:, 1], "n": q[:, 2], "need": q[:, 3]})
-            held, n = [], 0
-
-        def cell(g: pd.DataFrame):
-            u, w, c, size, slack, up, tile, weight = (g[x].to_numpy() for x in ("u", "n", "c", "size", "slack", "up", "tile", "weight"))
-            up = up.astype(bool)
-            i, j, times = int(g["i"].iloc[0]), int(g["j"].iloc[0]), int(w[0])
-            a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-            if i == j:
-                here.append(np.stack([u, w, weight], axis=1))
-            for k in range(0, len(a), 256):
-                x = a[k : k + 256]
-                ok = (c[x][:, None] != c[b]) & ~(up[x][:, None] & up[b]) & (4 * size[x][:, None] >= 3 * size[b]) & (4 * size[b] >= 3 * size[x][:, None])
-                if i == j:
-                    ok &= u[x][:, None] < u[b]
-                p, q = np.nonzero(ok)
-                if len(p):
-                    p, q = x[p], b[q]
-                    yield np.stack([np.minimum(u[p], u[q]), np.maximum(u[p], u[q]), np.full(len(p), times), np.maximum(slack[p], slack[q]) + 1], axis=1)
-
-        def take(g: pd.DataFrame):
-            nonlocal held, n
-            for p in cell(g):
-                held.append(p)
-                n += len(p)
-            if len(held) > 400 and n > HELD:
-                held = [counted(held)]
-                n = len(held[0])
-
-        for f in frames:
-            f = f if carry is None else pd.concat([carry, f], ignore_index=True)
-            if not len(f):
+    many = grouped.groupBy("lead", "scheme").agg(F.count(F.lit(1)).alias("g"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    # a cell holds two tiles of sketches: wide ones make small tiles
+    most = F.greatest(F.lit(16), F.floor(F.lit(CELL_BYTES) / F.pow(F.lit(4 / 3), F.col("scheme") + F.lit(4))))
+    tiles = F.ceil(F.col("g") / F.least(most, F.greatest(F.lit(SPREAD), F.least(F.lit(TILE), F.ceil(F.col("g") / SPREAD))))).cast("int")
+    many = durable(many.select(F.col("lead").alias("_lead"), F.col("scheme").alias("_scheme"), tiles.alias("tiles")))
+    d = grouped.join(many, (F.col("lead") == F.col("_lead")) & (F.col("scheme") == F.col("_scheme"))).drop("_lead", "_scheme")
+    d = d.join(packed.select("_n", "k"), F.col("u") == F.col("_n")).drop("_n")
+    d = d.withColumn("tile", F.pmod(F.xxhash64("u"), "tiles").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    d = d.select("lead", "scheme", F.least("o", "tile").alias("i"), F.greatest("o", "tile").alias("j"), "tile", "u", "size", "up", "c", "k")
+    d = d.repartition(width, "lead", "scheme", "i", "j").sortWithinPartitions("lead", "scheme", "i", "j", "u")
+
+    def pairs(batches):
+        keys, carry, out, n = ["lead", "scheme", "i", "j"], None, [], 0
+
+        def take(t: pa.Table):
+            nonlocal n
+            u, c, size, up, tile = (t[x].to_numpy() for x in ("u", "c", "size", "up", "tile"))
+            i, j, scheme = t["i"][0].as_py(), t["j"][0].as_py(), t["scheme"][0].as_py()
+            width = sketch_bits(scheme) // 8
+            sketches = np.frombuffer(b"".join(fold(k, width) for k in t["k"].to_pylist()), np.uint64).reshape(len(u), -1)
+            for p in _cell(u, c, size, up > 0, tile, sketches, i, j):
+                out.append(p)
+                n += len(p[0])
+
+        def send():
+            nonlocal n
+            if out:
+                u, v = (np.concatenate([p[x] for p in out]) for x in (0, 1))
+                out.clear()
+                n = 0
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            cells = f[keys].to_numpy()
-            edge = np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1
-            starts = [0, *edge.tolist()]
-            for s, e in zip(starts, edge.tolist()):
-                lead = (cells[s, 0], cells[s, 1])
-                if lead != now:
-                    yield from send(True)
-                    now, here, whole = lead, [], True
-                elif n > 2 * HELD:
-                    yield from send(False)
-                take(f.iloc[s:e])
-            carry = f.iloc[starts[-1] :]
-        if carry is not None and len(carry):
-            lead = (carry["lead"].iat[0], carry["part"].iat[0])
-            if lead != now:
-                yield from send(True)
-                now, here, whole = lead, [], True
+            t = pa.Table.from_batches([b]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([b])]).combine_chunks()
+            cells = np.stack([t[x].to_numpy() for x in keys], axis=1)
+            edge = (np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1).tolist()
+            for x, y in zip([0, *edge], edge):
+                if y - x > 1:
+                    take(t.slice(x, y - x))
+                if n >= 1 << 16:
+                    yield from send()
+            carry = t.slice(edge[-1] if edge else 0)
+        if carry is not None and carry.num_rows > 1:
             take(carry)
-        yield from send(True)
+        yield from send()
+        carry = None
+        give_back()
 
-    return d.mapInPandas(pairs, "u long, v long, n long, need long")
+    return d.mapInArrow(pairs, "u long, v long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar. The texts of the nodes in pairs are looked up once."""
-    need = pairs.select(F.col("u").alias("_n")).unionByName(pairs.select(F.col("v").alias("_n"))).distinct()
-    # one row of each node; equal sets have different texts at most in white space and case
+def _packed(docs: DataFrame, sets: DataFrame, need: DataFrame) -> DataFrame:
+    """_n, s (packed set), k (sketch) of the nodes in need (column _n). The texts are looked up once, by one row of each
+    node: equal sets have different texts at most in white space and case."""
     rows = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("_rid")).join(need, F.col("node") == F.col("_n"), "left_semi")
     texts = docs.join(rows, F.col("id") == F.col("_rid")).select("node", "text")
 
     def pack(batches):
+        seen: set[int] = set()
         for b in batches:
-            node, packed = [], []
+            node, packed, sketches = [], [], []
             for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(t)
-                if len(s) and (n is None or node_of(s) == n):  # rows may share an id
-                    node.append(node_of(s))
+                own = node_of(s) if len(s) else None
+                if own is not None and own not in seen and (n is None or own == n):  # rows may share an id
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(own)
+                    node.append(own)
                     packed.append(pack_set(s))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=["node", "s"])
+                    sketches.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(packed, pa.binary()), pa.array(sketches, pa.binary())], names=["_n", "s", "k"])
+        give_back()
 
+    kind = "_n long, s binary, k binary"
     # a null id finds no text: the nodes of those rows are made again from their texts
-    lost = docs.where("id IS NULL AND text IS NOT NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(pack, "node long, s binary")
-    lost = lost.join(rows.where("_rid IS NULL").select(F.col("node").alias("_l")), F.col("node") == F.col("_l"), "left_semi").dropDuplicates(["node"])
-    packed = durable(texts.mapInArrow(pack, "node long, s binary").unionByName(lost))
+    lost = docs.where("id IS NULL AND text IS NOT NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(pack, kind)
+    lost = lost.join(rows.where("_rid IS NULL").select(F.col("node").alias("_l")), F.col("_n") == F.col("_l"), "left_semi").dropDuplicates(["_n"])
+    out = durable(texts.mapInArrow(pack, kind).unionByName(lost))
     tidy(docs.sparkSession)
-    j = pairs.join(packed.select(F.col("node").alias("_a"), F.col("s").alias("sa")), F.col("u") == F.col("_a")).drop("_a")
-    j = j.join(packed.select(F.col("node").alias("_b"), F.col("s").alias("sb")), F.col("v") == F.col("_b")).drop("_b")
+    return out
+
+
+def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar."""
+    j = pairs.join(packed.select(F.col("_n").alias("_a"), F.col("s").alias("sa")), F.col("u") == F.col("_a")).drop("_a")
+    j = j.join(packed.select(F.col("_n").alias("_b"), F.col("s").alias("sb")), F.col("v") == F.col("_b")).drop("_b")
 
     def check(batches):
         for b in batches:
             ok = [similar(unpack_set(x), unpack_set(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     out = durable(j.select("u", "v", "sa", "sb").mapInArrow(check, "u long, v long"))
-    release(packed)
-    tidy(docs.sparkSession)
+    tidy(pairs.sparkSession)
     return out
 
 
+def _rarest(met: DataFrame) -> DataFrame:
+    """list, u, n (its signatures), size, role, scheme, k (nodes of the list), without each node's commonest lists as far
+    as its slack goes.
+
+    Partners share more signatures than the slack of either. Both leave out the first ones in the same order, so the
+    rarest one that they share is left out by neither.
+    """
+    of = met.where(F.col("what") == LIST).select(F.col("a").alias("list"), F.col("b").alias("u"), F.col("c").alias("n"), F.col("d").alias("size"), F.col("e").alias("slack"), (F.col("f") % 2).alias("role"), F.shiftright("f", 1).alias("scheme"), "k")
+    lists = of.repartition("u").groupBy("u", "list").agg(F.sum("n").alias("n"), *(F.max(x).alias(x) for x in ("size", "slack", "role", "scheme", "k")))
+    common = Window.partitionBy("u", "role").orderBy(F.desc("k"), "list").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lists.withColumn("before", F.sum("n").over(common)).where("before > slack").drop("before", "slack")
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row.
 
@@ -387,37 +415,35 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     tidy(spark)
     sets = met.where(F.col("what") == ROW).select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("c").alias("size"))
     twos = durable(met.where(F.col("what") == TWO).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("c").alias("n")))
-    lists = durable(met.where(F.col("what") == LIST).groupBy(F.col("a").alias("list"), F.col("b").alias("u")).agg(F.sum("c").alias("n"), F.max("d").alias("size"), F.max("e").alias("slack"), F.max("f").alias("up"), F.max("k").alias("k")))
+    lists = durable(_rarest(met))
     # The leader of a list is its node that shares most with all others: of near copies of a text, that text itself.
     degree = lists.groupBy(F.col("u").alias("_u")).agg(F.sum(F.col("n") * F.col("k")).alias("degree"))
-    led = lists.join(degree, F.col("u") == F.col("_u")).groupBy(F.col("list").alias("_l")).agg(F.max(F.struct("degree", "u", "size")).alias("m")).select("_l", F.col("m.u").alias("lead"), F.col("m.size").alias("ls"))
-    lists = durable(lists.join(led, F.col("list") == F.col("_l")).drop("_l"))
+    led = lists.join(degree, F.col("u") == F.col("_u")).groupBy(F.col("list").alias("_l")).agg(F.max(F.struct("degree", "u", "size")).alias("m"), F.count(F.lit(1)).alias("left")).where("left > 1").select("_l", F.col("m.u").alias("lead"), F.col("m.size").alias("ls"))
+    # Lists of one leader and scheme hold much the same nodes: they are one group.
+    groups = lists.join(led, F.col("list") == F.col("_l")).groupBy("lead", "scheme", "u").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.max("role").alias("up"), F.max("ls").alias("ls"))
+    groups = durable(groups)
     tidy(spark)
+    need = groups.select(F.col("u").alias("_n")).unionByName(twos.select(F.col("u").alias("_n"))).unionByName(twos.select(F.col("v").alias("_n"))).distinct()
+    packed = _packed(docs, sets, need)
     # First each node with the leader it meets most often; that connects most of a group of near copies.
-    meets = lists.where("u <> lead AND 4 * size >= 3 * ls AND 4 * ls >= 3 * size").groupBy("u", F.col("lead").alias("v")).agg(F.sum("n").alias("n"))
+    meets = groups.where("u <> lead AND 4 * size >= 3 * ls AND 4 * ls >= 3 * size").groupBy("u", F.col("lead").alias("v")).agg(F.sum("n").alias("n"))
     meets = meets.unionByName(twos).unionByName(twos.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"))
     first = meets.groupBy("u").agg(F.max(F.struct("n", "v")).alias("m")).select(F.least("u", "m.v").alias("_a"), F.greatest("u", "m.v").alias("v")).select(F.col("_a").alias("u"), "v")
     first = durable(first.distinct())
-    links = _verified(first, docs, sets)
+    links = _verified(first, packed)
     comp = durable(components(links))
-    # Then what shares enough signatures and is not yet connected.
+    # Then what a group's nodes in different components may still be, and pairs that share a signature of two.
     name = comp.select(F.col("id").alias("_id"), "component")
-    named = durable(lists.join(name, F.col("u") == F.col("_id"), "left").select("list", "u", "n", "size", "slack", "up", "k", "lead", F.coalesce("component", "u").alias("c")))
-    mixed = durable(named.groupBy("list").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("list").alias("_l")))
-    named = durable(named.join(mixed, F.col("list") == F.col("_l"), "left_semi"))
-    shared = named.select("u", "n").unionByName(twos.select("u", "n")).unionByName(twos.select(F.col("v").alias("u"), "n")).groupBy(F.col("u").alias("_u")).agg(F.sum("n").alias("weight"))
-    own = named.join(shared, F.col("u") == F.col("_u"))
-    crossed = durable(_crossed(own.select("list", "lead", "k", "u", "n", "size", "slack", "up", "weight", "c")).groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("need").alias("need")))
-    both = twos.groupBy(F.least("u", "v").alias("_u"), F.greatest("u", "v").alias("_v")).agg(F.sum("n").alias("n2"))
-    crossed = crossed.join(both, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left")
-    more = crossed.where(F.col("n") + F.coalesce("n2", F.lit(0)) >= F.col("need")).select("u", "v")
+    grouped = durable(groups.join(name, F.col("u") == F.col("_id"), "left").select("lead", "scheme", "u", "size", "up", F.coalesce("component", "u").alias("c")))
     ends = twos.join(name, F.col("u") == F.col("_id"), "left").select("u", "v", F.coalesce("component", "u").alias("uc"))
     ends = ends.join(name, F.col("v") == F.col("_id"), "left").where(F.col("uc") != F.coalesce("component", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = durable(more.unionByName(ends).distinct().join(first, ["u", "v"], "left_anti"))
+    more = durable(_crossed(grouped, packed).unionByName(ends).distinct().join(first, ["u", "v"], "left_anti"))
     tidy(spark)
     if not more.isEmpty():
-        links = durable(links.unionByName(_verified(more, docs, sets)))
+        links = durable(links.unionByName(_verified(more, packed)))
         comp = durable(components(links))
+    for x in (packed, lists, groups, grouped, twos, first, more):
+        release(x)
     named = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     named = durable(named.join(comp, F.col("node") == F.col("id"), "left").select("node", "least", F.coalesce("component", "node").alias("c")))
     tops = named.groupBy("c").agg(F.min("least").alias("top")).select(F.col("c").alias("_c"), "top")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import give_back
 
 SAMPLE, LANDMARKS, ROUNDS = 800, 240, 4
 DECAY, REACH, WINDOW = 0.6, 8, 24
@@ -32,7 +33,7 @@ EDGE, GAP = 31, -1
 #: Characters that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 APART = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
-CACHE = 250_000
+CACHE, SLICE = 200_000, 24
 
 
 @lru_cache(maxsize=1)
@@ -184,11 +185,11 @@ def fit(texts: list[tuple[list[str], int]]) -> Model:
         x = np.zeros((len(units), fold.shape[0] + 1))
         x[:, -1] = 1
         transposed = np.ascontiguousarray(fold.T)
+        del basis
         for index, m in _windows([vocabulary[u] for u in units]):
             tr, v = explicit(m)
-            for k in range(0, len(index), 256):
-                part = np.einsum("rt,rtd->rd", v[k : k + 256], transposed[tr[k : k + 256]])
-                x[index[k : k + 256], :-1] = part
+            for k in range(0, len(index), SLICE):  # each row of a slice gathers its triples times the landmarks
+                x[index[k : k + SLICE], :-1] = np.einsum("rt,rtd->rd", v[k : k + SLICE], transposed[tr[k : k + SLICE]])
         w = svm(x, label, weight)
         table, bias = (w[:-1] @ fold).astype(np.float32), float(w[-1])
         value = score_units(vocabulary, table)
@@ -216,12 +217,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Labels whose value or id is null, and ids with both labels, teach nothing.
     """
     spark = docs.sparkSession
-    l = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("a"), F.max("toxic").alias("b"))
+    l = labels.select(F.col("doc_id").cast("long"), "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("a"), F.max("toxic").alias("b"))
     l = l.where((F.col("a") == F.col("b")) & ~held_out("doc_id"))
     ids = [(r.doc_id, int(r.a)) for t in (0, 1) for r in l.where(F.col("a") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     chosen = spark.createDataFrame(ids, "_lid long, _toxic int") if ids else spark.createDataFrame([], "_lid long, _toxic int")
     # at most 2 * sample rows: broadcast is safe whatever the size of the documents
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_toxic", "_text")
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_toxic", "_text")
     ship(spark)
 
     def distinct_units(batches):
@@ -231,7 +232,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = d.mapInArrow(distinct_units, "id long, toxic int, units array<string>").collect()
     rows.sort(key=lambda r: (r.id, r.units))
-    return fit([(r.units, r.toxic) for r in rows])
+    texts = [(r.units, r.toxic) for r in rows]
+    del rows
+    model = fit(texts)
+    del texts
+    give_back()
+    return model
 
 
 def scorer(model: Model):
@@ -264,6 +270,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         scores = scorer(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1).to_pylist()), pa.float64())], names=[id_col, "score"])
+        del scores
+        give_back()
 
     d = docs.select(id_col, text_col)
     return d.mapInArrow(run, f"`{id_col}` {d.schema[id_col].dataType.simpleString()}, score double")
@@ -278,6 +286,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         scores = scorer(model)
         for b in batches:
             yield b.filter(pa.array([p < 0.5 for p in scores(b.column(at).to_pylist())], pa.bool_()))
+        del scores
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from terravane.llm import set_join as sj
+from terravane.llm.common import hash_words
 
 
 def words(t):
@@ -73,7 +74,7 @@ def test_partners_share_a_signature():
 
 def test_hot_group_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(sj, "TILE", 16)
-    monkeypatch.setattr(sj, "LOAD", 500)
+    monkeypatch.setattr(sj, "SPREAD", 16)
     rnd = random.Random(9)
     base = [f"w{k}" for k in range(200)]
     rows = [(i, " ".join(near(rnd, base, 0.01 + 0.0004 * i))) for i in range(150)]
@@ -81,6 +82,29 @@ def test_hot_group_in_tiles(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows) and len({r.component_id for r in got}) > 1
 
 
+def test_sketches_never_part_partners():
+    rng = np.random.default_rng(8)
+    for n in (3, 5, 9, 30, 200, 3000):
+        for share in (0.0, 0.1, 0.14, 0.2, 0.5):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) >= share], rng.integers(0, 1 << 63, int(share * n)).astype(np.uint64)]))
+            if len(y) < 3:
+                continue
+            a, b = sj.sketch(x), sj.sketch(y)
+            w = min(len(a), len(b))
+            a, b = (np.frombuffer(sj.fold(k, w), np.uint64) for k in (a, b))
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_words_of_a_linear_hash():
+    """Thue-Morse words fall together under any polynomial modulo 2 ** 64."""
+    bits = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    for n in (2048, 100, 64, 9, 8, 1):
+        assert hash_words(bits[:n])[0] != hash_words(other[:n])[0]
+    assert len(set(hash_words("aaaaaaaa aaaaaaaaa a \t aa A\x00").tolist())) == 5
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(7, "a b c d e f"), (7, "q r s t u v"), (None, "a b c d e f"), (500, "a b c d e f"), (None, None)]
     got = sj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -89,7 +113,7 @@ def test_repeated_and_null_ids(spark):
 
 def test_packed_sets_and_empty_table(spark):
     x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
-    assert (sj.unpack_set(sj.pack_set(x)) == x >> np.uint64(24)).all()
+    assert (sj.unpack_set(sj.pack_set(x)) == x).all()
     assert sj.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
