@@ -8,8 +8,9 @@ continuation agrees on is emitted. Only starts from which the vocabulary has a l
 lookahead is bounded by the longest token. States and arcs are made when first met and dropped when their number
 reaches a bound. A piece seen before is answered from a bounded memo of the transducer's own outputs.
 
-Decoding streams: bytes of tokens go through an incremental UTF-8 state machine that holds back at most three bytes of
-an unfinished character and replaces malformed ones.
+Decoding streams: tokens go through an incremental UTF-8 state machine, a table of eight states, that holds back at most
+three bytes of an unfinished character and replaces malformed ones; its way over a token is kept, so that most tokens
+cost one lookup.
 """
 
 from __future__ import annotations
@@ -198,44 +199,91 @@ class PieceMemo(dict):
         return out
 
 
+#: Where a byte from lo to hi leads: (state, lo, hi, next state). 0 stands between characters; 1, 2 and 3 wait for so many
+#: more bytes; 4 to 7 are behind E0, ED, F0 and F4, which limit the next byte.
+UTF8_ARCS = (
+    (0, 0x00, 0x7F, 0), (0, 0xC2, 0xDF, 1), (0, 0xE0, 0xE0, 4), (0, 0xE1, 0xEC, 2), (0, 0xED, 0xED, 5), (0, 0xEE, 0xEF, 2),
+    (0, 0xF0, 0xF0, 6), (0, 0xF1, 0xF3, 3), (0, 0xF4, 0xF4, 7), (1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2),
+    (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2),
+)
+REJECT = 8
+UTF8_TABLE = [bytearray([REJECT]) * 256 for _ in range(8)]
+for _state, _lo, _hi, _next in UTF8_ARCS:
+    UTF8_TABLE[_state][_lo : _hi + 1] = bytes([_next]) * (_hi - _lo + 1)
+
+
 class Utf8Machine:
-    """Incremental UTF-8: feed bytes, get text. Malformed bytes become U+FFFD; an unfinished character waits."""
-
-    def __init__(self):
-        self.held = b""
-
-    @staticmethod
-    def tail(b: bytes) -> int:
-        """How many bytes at the end belong to a character that more bytes may finish."""
-        for back in range(1, min(3, len(b)) + 1):
-            c = b[-back]
-            if c < 0x80:
-                return 0
-            if c >= 0xC0:
-                need = 2 if 0xC2 <= c <= 0xDF else 3 if 0xE0 <= c <= 0xEF else 4 if 0xF0 <= c <= 0xF4 else 0
-                if back >= need:
-                    return 0
-                lo, hi = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(c, (0x80, 0xBF))
-                return back if back == 1 or lo <= b[1 - back] <= hi else 0
-        return 0
+    """Incremental UTF-8 by a table of states: feed bytes, get text. What cannot go on becomes one U+FFFD, and the byte
+    that broke it is read anew; an unfinished character waits, three bytes at most. replaced counts the U+FFFD made."""
+
+    def __init__(self, held: bytes = b""):
+        self.held, self.state, self.replaced = b"", 0, 0
+        if held:
+            self.feed(held)
 
     def feed(self, b: bytes) -> str:
-        b = self.held + b
-        n = self.tail(b)
-        self.held, b = b[len(b) - n :], b[: len(b) - n]
-        return b.decode("utf-8", "replace")
+        if not self.state and b.isascii():
+            return b.decode("ascii")
+        state, held, out, i = self.state, bytearray(self.held), [], 0
+        while i < len(b):
+            nxt = UTF8_TABLE[state][b[i]]
+            if nxt == REJECT:
+                out.append("\ufffd")
+                self.replaced += 1
+                held.clear()
+                i += state == 0
+                state = 0
+                continue
+            held.append(b[i])
+            state, i = nxt, i + 1
+            if not state:
+                code = held[0] & (0x7F if len(held) == 1 else 0x7F >> len(held))
+                for x in held[1:]:
+                    code = code << 6 | x & 0x3F
+                out.append(chr(code))
+                held.clear()
+        self.state, self.held = state, bytes(held)
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        """What an unfinished character at the end becomes."""
+        rest = "\ufffd" if self.held else ""
+        self.replaced += bool(self.held)
+        self.held, self.state = b"", 0
+        return rest
+
+
+class TokenText(dict):
+    """(bytes held back, token) to (text, bytes held back after, U+FFFD made): the UTF-8 machine's way over a whole token,
+    made when first met, dropped at a bound."""
+
+    def __init__(self, token: dict[int, bytes]):
+        super().__init__()
+        self.token = token
+
+    def __missing__(self, key: tuple[bytes, int]) -> tuple[str, bytes, int]:
+        if len(self) >= PAIRS:
+            self.clear()
+        m = Utf8Machine(key[0])
+        text = m.feed(self.token[key[1]])
+        got = self[key] = (text, m.held, m.replaced)
+        return got
 
 
 class Codec:
     def __init__(self, path: str, pattern: str):
+        import numpy as np
         import regex
 
         self.fst = Transducer(load_ranks(path))
         self.pieces, self.memo = regex.compile(pattern), PieceMemo(self.fst)
+        self.texts = TokenText(self.fst.token)
+        # tokens of whole characters, for which the machine begins and ends between characters
+        over = {i: self.texts[b"", i] for i in self.fst.token}
+        self.plain = {i: text for i, (text, held, bad) in over.items() if not held and not bad}
+        self.whole = np.zeros(max(self.fst.token) + 1, dtype=bool)
+        self.whole[list(self.plain)] = True
+        self.texts.clear()
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of the whole text; pieces are met in order, in slices that bound what is held."""
@@ -253,26 +301,42 @@ class Codec:
         return b"".join([*out, *map(get, part)])
 
     def decode(self, packed: bytes):
-        """Chunks of bytes, in order."""
+        """Chunks of (bytes, text) in order: the machine takes token after token, and where it holds nothing back and each
+        token is whole characters, a chunk's texts are just joined."""
         import numpy as np
 
-        ids, get = np.frombuffer(packed, "<u4"), self.fst.token.__getitem__
+        ids, held, get = np.frombuffer(packed, "<u4"), b"", self.plain.__getitem__
         for k in range(0, len(ids), 1 << 16):
-            yield b"".join(map(get, ids[k : k + (1 << 16)].tolist()))
+            part, began = ids[k : k + (1 << 16)], held
+            out, at, replaced, part_ids = [], 0, 0, part.tolist()
+            for odd in [*([0] if held else []), *np.flatnonzero(~self.whole[part]).tolist()]:
+                if odd < at:
+                    continue
+                out += map(get, part_ids[at:odd])
+                at = odd
+                while at < len(part_ids) and (held or at == odd):
+                    text, held, bad = self.texts[held, part_ids[at]]
+                    out.append(text)
+                    replaced, at = replaced + bad, at + 1
+            out += map(get, part_ids[at:])
+            text = "".join(out)
+            if began or held or replaced:
+                yield b"".join(map(self.fst.token.__getitem__, part_ids)), text
+            else:
+                yield text.encode("utf-8"), text
+        if held:
+            yield b"", "\ufffd"
 
     def verified(self, packed: bytes, text: str | None) -> tuple[str, bool]:
         """SHA-256 of the decoded bytes, and whether the decoded text, met chunk by chunk, is this text."""
-        h, m, text, at, same = hashlib.sha256(), Utf8Machine(), text or "", 0, True
-        for x in self.decode(packed):
+        h, text, at, same = hashlib.sha256(), text or "", 0, True
+        for x, t in self.decode(packed):
             h.update(x)
-            t = m.feed(x)
             same, at = same and text.startswith(t, at), at + len(t)
-        t = m.end()
-        return h.hexdigest(), same and text.startswith(t, at) and at + len(t) == len(text)
+        return h.hexdigest(), same and at == len(text)
 
     def decode_text(self, packed: bytes) -> str:
-        m = Utf8Machine()
-        return "".join([*(m.feed(x) for x in self.decode(packed)), m.end()])
+        return "".join(t for _, t in self.decode(packed))
 
 
 @lru_cache(maxsize=1)
