@@ -49,28 +49,32 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = durable(heads)  # a plain table on this side: a line in very many documents is then split by the join
     dropped = d.join(heads, ["h1", "h2"]).where(~F.col("_d").eqNullSafe(F.col("keeper")))
     per_doc = dropped.groupBy("_d", "t1", "t2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    return per_doc.select(F.col("_d").alias(id_col), "t1", "t2", "gone")
+    return per_doc.select(F.col("_d").alias(id_col), "t1", "t2", runs_kept(F.col("gone")).alias("keep"))
 
 
-def runs_kept(gone: Column, n_lines: Column) -> Column:
-    """Sorted dropped positions to the runs of kept ones; the form in which bitmaps are stored."""
+def runs_kept(gone: Column) -> Column:
+    """Sorted dropped positions to the compressed bitmap: the runs of kept ones. The last run has no length, it goes on to
+    the end of the text, which is not at hand where bitmaps are made."""
     left = F.concat(F.array(F.lit(-1)), gone)
-    right = F.concat(gone, F.array(n_lines))
+    right = F.concat(gone, F.array(F.lit(None).cast("int")))
     runs = F.zip_with(left, right, lambda a, b: F.struct((a + 1).alias("first"), (b - a - 1).alias("n")))
-    return F.filter(runs, lambda r: r["n"] > 0).cast(KEEP)
+    return F.filter(runs, lambda r: r["n"].isNull() | (r["n"] > 0)).cast(KEEP)
 
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with _lines (array), _keep (runs) and _kept (the text that stays, or null where no line stays)."""
-    b = bitmaps.select(F.col(id_col).alias("_bd"), F.col("t1").alias("_b1"), F.col("t2").alias("_b2"), F.col("gone").alias("_gone"))
+    b = bitmaps.select(F.col(id_col).alias("_bd"), F.col("t1").alias("_b1"), F.col("t2").alias("_b2"), F.col("keep").alias("_runs"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)})
     j = d.join(b, (d["_t1"] == b["_b1"]) & (d["_t2"] == b["_b2"]) & d[id_col].eqNullSafe(b["_bd"]), "left")
     j = j.withColumn("_lines", line_array(F.col(text_col)))
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    j = j.withColumns({"_n_gone": F.size(gone), "_keep": runs_kept(gone, F.size("_lines"))})
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(None).cast("int").alias("n"))).cast(KEEP)
+    n_lines = F.size("_lines")
+    closed = F.transform(F.coalesce(F.col("_runs"), whole), lambda r: F.struct(r["first"].alias("first"), F.coalesce(r["n"], n_lines - r["first"]).alias("n")))
+    j = j.withColumn("_keep", F.filter(closed, lambda r: r["n"] > 0).cast(KEEP))
+    j = j.withColumn("_n_gone", n_lines - F.aggregate("_keep", F.lit(0), lambda a, r: a + r["n"]))
     kept = F.flatten(F.transform("_keep", lambda r: F.slice("_lines", r["first"] + 1, r["n"])))
-    return j.withColumn("_kept_lines", kept).drop("_bd", "_b1", "_b2", "_gone", "_t1", "_t2")
+    return j.withColumn("_kept_lines", kept).drop("_bd", "_b1", "_b2", "_runs", "_t1", "_t2")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
