@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,17 +114,40 @@ def proposals(t: str) -> Iterator[tuple[str, int, int, bool]]:
             yield "card", m.start(), m.end(), False
 
 
+class Taken:
+    """Stretches of a text that spans have taken; those that overlap are one. Asking is a search by bisection."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, s: int, e: int) -> bool:
+        i = bisect_right(self.ends, s)
+        return i == len(self.ends) or self.starts[i] >= e
+
+    def add(self, s: int, e: int) -> None:
+        """A stretch that is free."""
+        insort(self.starts, s)
+        insort(self.ends, e)
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int, float]], list[tuple[str, int, int]]]:
     """All spans with scores, and the base ones, in order of kind, then start. Null text has none."""
     t = text or ""
     base = [(k, s, e) for k in BASE for s, e in FINDERS[k](t)]
     score = lambda k, s, e, ok: min(1.0, PRIOR[k] + CHECKED * ok + context(t, k, s, e))
     spans = [(k, s, e, score(k, s, e, k == "card")) for k, s, e in base]
-    taken = [(s, e) for _, s, e in base]
+    taken = Taken((s, e) for _, s, e in base)
     for k, s, e, ok in proposals(t):
-        if all(e <= a or s >= b for a, b in taken) and (p := score(k, s, e, ok)) >= THRESHOLD:
+        if taken.free(s, e) and (p := score(k, s, e, ok)) >= THRESHOLD:
             spans.append((k, s, e, p))
-            taken.append((s, e))
+            taken.add(s, e)
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda x: (order[x[0]], x[1], x[2])), base
 

@@ -8,7 +8,8 @@ unit it is. Because the score is linear in the kernel's explicit features, landm
 32^3 weights; scoring a unit is a gather over its letter triples, which is the same number as through the landmarks.
 
 A document's score is that of its most toxic unit, through a logistic curve fitted on the labelled sample. Labels are
-learned only from documents whose crc32(id) mod 5 is not 0. The sample is bounded: SAMPLE documents of each class.
+learned only from documents whose crc32(id) mod 5 is not 0. The sample is bounded: SAMPLE documents of each class,
+UNITS distinct units of each.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import give_back
 
-SAMPLE, LANDMARKS, ROUNDS = 800, 240, 4
+SAMPLE, UNITS, LANDMARKS, ROUNDS = 800, 20_000, 240, 4
 DECAY, REACH, WINDOW = 0.6, 8, 24
 SYMBOLS = 32
 EDGE, GAP = 31, -1
@@ -211,8 +213,15 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+def bounded(units: set[str]) -> set[str]:
+    """A sampled document teaches with at most UNITS distinct units, the smallest by a hash."""
+    if len(units) <= UNITS:
+        return units
+    return set(sorted(units, key=lambda u: (crc32(u.encode("utf-8", "surrogatepass")), u))[:UNITS])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents of each class, the smallest by a hash of the id.
+    """Fit on at most `sample` labelled documents of each class, the smallest by a hash of the id; scoring reads whole texts.
 
     Labels whose value or id is null, and ids with both labels, teach nothing.
     """
@@ -227,17 +236,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def distinct_units(batches):
         for b in batches:
-            units = [sorted(set(units_of(t))) for t in b.column(2).to_pylist()]
+            units = [sorted(bounded(set(units_of(t)))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(units, pa.list_(pa.string()))], names=["id", "toxic", "units"])
 
-    rows = d.mapInArrow(distinct_units, "id long, toxic int, units array<string>").collect()
-    rows.sort(key=lambda r: (r.id, r.units))
-    texts = [(r.units, r.toxic) for r in rows]
-    del rows
-    model = fit(texts)
-    del texts
-    give_back()
-    return model
+    def learn(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t["id"].to_pylist(), t["units"].to_pylist(), t["toxic"].to_pylist()))
+        m = fit([(units, toxic) for _, units, toxic in rows])
+        give_back()
+        return pa.table({"weights": pa.array([m.table.tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
+
+    # One task learns, an executor's: the sample is bounded by 2 * sample rows of at most UNITS units. The driver gets one row.
+    sampled = d.mapInArrow(distinct_units, "id long, toxic int, units array<string>")
+    m = sampled.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "weights binary, bias double, slope double, shift double").first()
+    if m is None:
+        return fit([])
+    return Model(np.frombuffer(bytes(m.weights), dtype=np.float32), m.bias, m.slope, m.shift)
 
 
 def scorer(model: Model):

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import durable, ship
 from .components import components
@@ -65,7 +66,7 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
             yield pd.DataFrame({"rep": f["rep"], "label": f["label"], "d": by.astype(np.int32), "k": f["k"], "sig": list(out.astype(np.int32)), "x": [np.asarray(v, "<f8").tobytes() for v in f["x"]], "packed": [v.astype("<i4").tobytes() for v in out]})
 
     # Vectors and signatures travel packed; as arrays of numbers they would be taken apart one by one.
-    signed = durable(rows.mapInPandas(sign, "rep long, label int, d int, k long, sig array<int>, x binary, packed binary"))
+    signed = durable(rows.mapInPandas(sign, "rep long, label long, d int, k long, sig array<int>, x binary, packed binary"))
     keys = signed.select("rep", "label", "d", F.posexplode("sig").alias("t", "s"))
     # How many rows a bucket has, and each row's tile in it. Counting is aggregated before the shuffle.
     sizes = durable(keys.groupBy("label", "d", "t", "s").count().where("count > 1").withColumn("tiles", F.ceil(F.col("count") / TILE).cast("int")).drop("count"))
@@ -143,23 +144,32 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at least threshold.
     Null or zero vectors, vectors with null or non-finite components and those of other lengths link with nothing. Ids
-    are expected to be distinct and not null; rows that share an id are counted as vectors of their own. Equal vectors
+    are expected to be distinct and not null; rows that share an id are counted as vectors of their own. Labels may be whole
+    numbers or anything that can be hashed. Equal vectors
     link with each other; they share a class and are never expanded into pairs.
     """
     ship(vectors.sparkSession)
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
+    kind = vectors.schema[label_col].dataType
+    label = F.col(label_col).cast("long") if isinstance(kind, T.IntegralType | T.BooleanType) else F.xxhash64(label_col)
+    label = F.when(F.col(label_col).isNotNull(), label)
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
     ok = F.coalesce(valid(F.col("x")) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
     good = v.where(ok)
     # Classes of equal vectors, by 128 bits of hash of the components (-0.0 and 0.0 are equal).
     x = F.transform("x", lambda c: c + F.lit(0.0))
     good = durable(good.withColumns({"h1": F.xxhash64("label", x), "h2": F.xxhash64(F.lit(1), x, "label")}))
-    classes = good.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"))
-    member = durable(classes)
-    reps = good.join(member, ["h1", "h2"]).where("id = rep").select("rep", "label", "x", "k").dropDuplicates(["rep"])
+    classes = durable(good.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")))
+    # A class is named by its smallest id; where other classes have that id too (rows that share an id), by its hash.
+    twice = classes.groupBy(F.col("least").alias("_l")).count().where("count > 1").select("_l")
+    member = durable(classes.join(twice, F.col("least") == F.col("_l"), "left").select("h1", "h2", "least", "k", F.when(F.col("_l").isNull(), F.col("least")).otherwise(F.col("h1")).alias("rep")))
+    reps = good.join(member, ["h1", "h2"]).where("id = least").select("rep", "label", "x", "k").dropDuplicates(["rep"])
     n, edges = links(durable(reps), threshold)
     comp = components(edges)
     of = member.join(n.withColumnRenamed("rep", "_n"), F.col("rep") == F.col("_n"), "left").join(comp, F.col("rep") == F.col("id"), "left")
-    of = durable(of.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    of = of.select("h1", "h2", "least", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    of = durable(of)
+    tops = of.groupBy(F.col("c").alias("_c")).agg(F.min("least").alias("component_id"))
+    of = durable(of.join(tops, F.col("c") == F.col("_c")).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "n_links", "component_id"))
     linked = good.join(of, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("id", F.col("n_links").cast("long"), "component_id")
     rest = v.where(~ok).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(rest)

@@ -74,8 +74,8 @@ def probes_for(x: np.ndarray, longest: float, c: np.ndarray, k: int, recall: flo
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
 
-def scan(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, longest: float, rotation: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of a cell's rows for each of its queries, rows taken in the order given. Pairs are abandoned by the
+def scan(qn: np.ndarray, qi: np.ndarray, q: np.ndarray, xn: np.ndarray, xi: np.ndarray, x: np.ndarray, longest: float, rotation: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of a cell's rows for each of its queries, known by row number (qn, xn) and id (qi, xi), rows taken in the order given. Pairs are abandoned by the
     test, block by block; while most pairs of a chunk are alive a block is one product, after that only theirs."""
     dim = rotation.shape[0]
     ry, rq = augment(x, longest) @ rotation, np.concatenate([q, np.zeros((len(q), 1))], axis=1) @ rotation
@@ -125,13 +125,13 @@ def scan(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, longest:
         if pq is None:
             pq, px = np.nonzero(alive)
         px = rows[px]
-        other = qi[pq] != xi[px]
+        other = qn[pq] != xn[px]
         pq, px = pq[other], px[other]
         s = np.einsum("ij,ij->i", q[pq], x[px])
         stay = s >= kth[pq]
         offer(pq[stay], px[stay], s[stay])
     r, c = np.nonzero(np.isfinite(best_s))
-    return pd.DataFrame({"query_id": qi[r], "vec_id": best_i[r, c], "score": best_s[r, c]})
+    return pd.DataFrame({"qn": qn[r], "query_id": qi[r], "vec_id": best_i[r, c], "score": best_s[r, c]})
 
 
 def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", is_query=None) -> DataFrame:
@@ -139,7 +139,7 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col:
 
     Nearness is the inner product in double precision; ties go to the smaller id. Vectors that are null, zero or hold
     null or non-finite components take no part, nor do rows with a null id; all vectors are expected to have the length
-    most rows have, others take no part. Repeated ids are searched as rows of their own. With fewer than k candidates a
+    most rows have, others take no part. Rows that share an id are candidates and queries of their own. With fewer than k candidates a
     query gets all of them. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -164,14 +164,17 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col:
     def index(frames):
         for f in frames:
             x = np.stack(f["x"].to_numpy()) if len(f) else np.zeros((0, dims["d"]))
-            yield pd.DataFrame({"id": f["id"], "list": nearest(augment(x, longest), c, 1)[:, 0].astype("int32"), "q": f["q"], "x": [r.astype("<f8").tobytes() for r in x]})
+            yield pd.DataFrame({"n": f["n"], "id": f["id"], "list": nearest(augment(x, longest), c, 1)[:, 0].astype("int32"), "q": f["q"], "x": [r.astype("<f8").tobytes() for r in x]})
 
-    rows = durable(v.select("id", "x", query.alias("q")).mapInPandas(index, "id long, list int, q boolean, x binary"))
+    # n numbers the rows; frozen with the table
+    numbered = v.select(F.monotonically_increasing_id().alias("n"), "id", "x", query.alias("q"))
+    rows = durable(numbered.mapInPandas(index, "n long, id long, list int, q boolean, x binary"))
 
     # Queries of near lists go into one tile: lists in the order of their centroids along the main axis, cut into tiles
     # of QUERY_TILE queries; a list with more is dealt over several by hash. One row a list (MAX_LISTS at most).
     axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0] if lists > 1 else np.ones(c.shape[1])
-    asking = dict(rows.where("q").groupBy("list").count().collect())
+    held = {r.list: (r.m, r.asking) for r in rows.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.count_if("q").alias("asking")).collect()}
+    asking, sizes = {i: a for i, (_, a) in held.items()}, np.array([held.get(i, (0, 0))[0] for i in range(lists)])
     tile_of, tile, room = [], 0, QUERY_TILE
     for i in np.argsort(c @ axis, kind="stable").tolist():
         m = asking.get(i, 0)
@@ -184,30 +187,35 @@ def search(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col:
         else:
             room -= m
     deal = F.broadcast(spark.createDataFrame(tile_of, "list int, tile int, parts int"))
-    queries = rows.where("q").join(deal, "list").withColumn("tile", (F.col("tile") + F.pmod(F.xxhash64("id", "x"), F.col("parts"))).cast("int")).select("id", "x", "tile")
+    queries = rows.where("q").join(deal, "list").withColumn("tile", (F.col("tile") + F.pmod(F.xxhash64("n"), F.col("parts"))).cast("int")).select("n", "id", "x", "tile")
 
     def probe(frames):
         for f in frames:
             x = _packed(f["x"]) if len(f) else np.zeros((0, dims["d"]))
-            near = nearest(np.concatenate([x, np.zeros((len(x), 1))], axis=1), c, probes)
+            zero = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+            near = nearest(zero, c, probes)
+            if len(x) and probes < lists and (sizes[near].sum(axis=1) <= k).any():
+                # small lists: every query goes on until its lists hold k rows besides its own, or there are no more
+                every = nearest(zero, c, lists)
+                near = every[:, : max(probes, int((np.cumsum(sizes[every], axis=1) <= k).sum(axis=1).max()) + 1)]
             d = pd.DataFrame({"tile": np.repeat(f["tile"].to_numpy(), near.shape[1]), "list": near.ravel().astype("int32"), "place": np.tile(np.arange(near.shape[1], dtype=np.int32), len(x))})
             yield d.groupby(["tile", "list"], as_index=False)["place"].min()
 
     # Which lists a tile's queries probe, and how early. All of a tile's queries then scan all of its lists.
     wanted = queries.mapInPandas(probe, "tile int, list int, place int").groupBy("tile", "list").agg(F.min("place").alias("place"))
     groups = max(1, -(-n // ROW_TILE))
-    rowside = rows.select("id", "x", "list", F.pmod(F.xxhash64("id", "x"), F.lit(groups)).cast("int").alias("g"))
-    left = rowside.join(wanted, "list").select("id", "x", "tile", "g", "place")
-    right = queries.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("tile").alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qg"))
+    rowside = rows.select("n", "id", "x", "list", F.pmod(F.xxhash64("n"), F.lit(groups)).cast("int").alias("g"))
+    left = rowside.join(wanted, "list").select("n", "id", "x", "tile", "g", "place")
+    right = queries.select(F.col("n").alias("qn"), F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("tile").alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qg"))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"qn": [], "query_id": [], "vec_id": [], "score": []})
         a = a.sort_values(["place", "id"], kind="stable")
-        return scan(b["qid"].to_numpy(), _packed(b["qx"]), a["id"].to_numpy(), _packed(a["x"]), longest, rotation, k)
+        return scan(b["qn"].to_numpy(), b["qid"].to_numpy(), _packed(b["qx"]), a["n"].to_numpy(), a["id"].to_numpy(), _packed(a["x"]), longest, rotation, k)
 
-    found = left.groupBy("tile", "g").cogroup(right.groupBy("qt", "qg")).applyInPandas(cell, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy("tile", "g").cogroup(right.groupBy("qt", "qg")).applyInPandas(cell, "qn long, query_id long, vec_id long, score double")
+    w = Window.partitionBy("qn").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

@@ -50,3 +50,23 @@ def test_frames(spark):
     assert [(r.doc_id, r.n_email, r.n_ip, r.joined) for r in got] == [(1, 1, 0, "email:0:6"), (1, 0, 0, ""), (None, 0, 0, ""), (2, 0, 1, "ip:3:10")]
     assert got[0].base_sha256 == hashlib.sha256(b"email:0:6").hexdigest()
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_spans_of_both_sorts_are_linear():
+    import time
+
+    def took(n):
+        t = "a@b.cc 123-45-6789 +1 202 555 0100 x (at) y dot com " * n
+        began = time.process_time()
+        pii.find(t)
+        return time.process_time() - began
+
+    took(50)
+    assert took(4000) < 40 * took(400) + 0.5
+
+
+def test_taken_stretches():
+    t = pii.Taken([(5, 9), (1, 3), (8, 12)])
+    assert (t.starts, t.ends) == ([1, 5], [3, 12]) and t.free(3, 5) and not t.free(2, 4) and not t.free(0, 20) and t.free(12, 13)
+    t.add(3, 5)
+    assert not t.free(4, 5) and not t.free(3, 4) and t.free(0, 1)

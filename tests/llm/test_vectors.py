@@ -99,3 +99,33 @@ def test_search_small_tables(spark):
     assert len(got) == 5 * 4 and {r.query_id for r in got} == {0, 20, 40, 60, 80}
     ties = [(i, [1.0, 0.0], 0) for i in range(30)]
     assert [r.vec_id for r in sorted(vs.search(spark.createDataFrame(ties, schema)).where("query_id = 20").collect(), key=lambda r: r.rank)] == list(range(20))
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0, 0.0], 1 << 40), (5, [0.0, 1.0, 0.0], 1 << 40), (6, [1.0, 0.05, 0.0], 1 << 40), (7, [0.05, 1.0, 0.0], 1 << 40)]
+    schema = "vec_id long, embedding array<double>, label long"
+    got = vd.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
+    named = spark.createDataFrame([(i, v, f"k{l % 7}") for i, v, l in rows], schema.replace("label long", "label string"))
+    assert sorted(r.n_links for r in vd.near_duplicates(named).collect()) == [1, 1, 1, 1]
+
+
+def test_queries_that_share_an_id(spark):
+    rng = np.random.default_rng(3)
+    rows = [(20, rng.standard_normal(8).tolist()), (20, rng.standard_normal(8).tolist())] + [(i, rng.standard_normal(8).tolist()) for i in range(21, 60) if i % 20]
+    got = vs.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = []
+    for n in (0, 1):
+        s = [(-float(np.dot(rows[n][1], x)), i) for k, (i, x) in enumerate(rows) if k != n]
+        want += [(20, r + 1, i) for r, (_, i) in enumerate(sorted(s)[:20])]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)
+
+
+def test_short_lists_are_extended(spark, monkeypatch):
+    """One probe of lists of a few rows: every query still gets 20 rows."""
+    monkeypatch.setattr(vs, "PER_LIST", 4)
+    monkeypatch.setattr(vs, "probes_for", lambda *a, **k: 1)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(200)]
+    got = vs.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 10 * 20
