@@ -25,6 +25,7 @@ TYPE_WORDS = ("class", "interface", "enum", "record")
 TOKEN = re.compile(r'\s+|//[^\n]*|/\*.*?\*/|(?P<block>"""(?:[^\\]|\\.)*?""")|(?P<str>"(?:[^"\\\n]|\\.)*")|(?P<chr>\'(?:[^\'\\\n]|\\.)+\')|(?P<id>[^\W\d][\w$]*)|(?P<num>\d[\w.]*)|(?P<op>->|::|&&|\|\||\.\.\.|[^\s\w])', re.DOTALL)
 ESCAPE = re.compile(r'\\(u+[0-9a-fA-F]{4}|[0-7]{1,3}|.)', re.DOTALL)
 SIMPLE_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "s": " "}
+SQL_WORD = re.compile(r"""[\w."`]+""")
 SQL_START = re.compile(r"^\s*(SELECT|INSERT|UPDATE|DELETE|MERGE|WITH)\b", re.IGNORECASE)
 
 
@@ -69,17 +70,20 @@ def literal(t: Tok) -> str:
 
 
 def sql_access(sql: str, reads: set[str], writes: set[str]) -> None:
-    """Tables of one literal; the column form is functions.text.sql_tables."""
-    from ..functions.text import SQL_STOP
-
-    verb = SQL_START.match(sql)[1].upper()
-    plan = {
-        "INSERT": ((r"INSERT\s+INTO",), ("FROM", "JOIN")), "UPDATE": (("UPDATE",), ("FROM", "JOIN")), "DELETE": ((r"DELETE\s+FROM",), ("JOIN",)), "MERGE": ((r"MERGE\s+INTO",), ("USING",)),
-    }.get(verb, ((), ("FROM", "JOIN")))
-    for keywords, into in zip(plan, (writes, reads)):
-        for k in keywords:
-            names = (re.sub(r'["`]', "", n).rsplit(".", 1)[-1].lower() for n in re.findall(rf'\b{k}\s+([\w."`]+)', sql, re.IGNORECASE))
-            into.update(n for n in names if n and n not in SQL_STOP)
+    """Tables of one literal, by a walk over its words: a word that introduces a table says whether it is read or written.
+    The column form is functions.text.sql_tables."""
+    from ..functions.text import SQL_INTO, SQL_STOP
+
+    words = SQL_WORD.findall(sql)
+    verb = words[0].upper()
+    before = ""
+    for word, name in zip(words, words[1:]):
+        word = word.upper()
+        into, two = SQL_INTO[verb].get(word), SQL_INTO[verb].get(f"{before} {word}")
+        before = word
+        table = name.replace('"', "").replace("`", "").rsplit(".", 1)[-1].lower()
+        if (use := two or into) and table and table not in SQL_STOP:
+            (writes if use == "write" else reads).add(table)
     reads -= writes
 
 
