@@ -132,11 +132,11 @@ def complexity_hotspots(spark, d):
     return an.complexity_hotspots(ent(spark, d), 6).select("id", "complexity", "band")
 
 
-DEAD = f"""{es.SQL}, dead AS (
-  SELECT id, kind, CASE WHEN kind = 'CLASS' THEN 88 WHEN visibility = 'private' THEN 94 WHEN visibility = 'package' THEN 86 ELSE 82 END
-    - CASE WHEN lower(name) IN (SELECT lower(call) FROM rel WHERE NOT resolved AND kind IN {_in(DEAD_USAGE)} AND call IS NOT NULL) THEN 30 ELSE 0 END AS confidence
-  FROM ent e WHERE kind IN {_in(DEAD_CANDIDATES)} AND NOT exposed AND qn NOT IN (SELECT qn FROM ent WHERE exposed)
-  AND NOT EXISTS (SELECT 1 FROM rel r WHERE r.to_id = e.id AND r.resolved AND r.kind IN {_in(DEAD_USAGE)})
+DEAD = f"""{es.SQL}, used AS (SELECT DISTINCT to_id FROM rel WHERE resolved AND kind IN {_in(DEAD_USAGE)}), shown AS (SELECT DISTINCT qn FROM ent WHERE exposed),
+said AS (SELECT DISTINCT lower(call) AS word FROM rel WHERE NOT resolved AND kind IN {_in(DEAD_USAGE)} AND call IS NOT NULL), dead AS (
+  SELECT id, kind, CASE WHEN kind = 'CLASS' THEN 88 WHEN visibility = 'private' THEN 94 WHEN visibility = 'package' THEN 86 ELSE 82 END - CASE WHEN said.word IS NULL THEN 0 ELSE 30 END AS confidence
+  FROM ent e LEFT JOIN said ON said.word = lower(e.name) LEFT JOIN shown ON shown.qn = e.qn LEFT JOIN used ON used.to_id = e.id
+  WHERE kind IN {_in(DEAD_CANDIDATES)} AND NOT exposed AND shown.qn IS NULL AND used.to_id IS NULL
 )"""
 
 
