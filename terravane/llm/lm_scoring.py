@@ -8,13 +8,16 @@ state's weights sum to 1. Unseen words lead to the root.
 Nothing that grows with the corpus is broadcast or collected. Texts are dealt into blocks of bounded size; a block asks
 for the counts of its distinct n-grams (sorted 64-bit hashes, cut into ranges, packed) and brings its own counts of
 training documents along. Each range sums all blocks' counts and answers every block in the order asked. A block's
-answers are the part of the automaton that its texts can reach. An n-gram that is frequent everywhere comes once from
+answers become the part of the automaton that its texts can reach: a table of arcs by state, failure arcs, and a root. An n-gram that is frequent everywhere comes once from
 each block, so no task gets more than its share. The texts are shuffled once; both passes over the blocks read that
 shuffle.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,22 +83,70 @@ def unpack_keys(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _packed(kind: str, values: np.ndarray) -> array:
+    """Values as an array that single items are read from quickly."""
+    out = array(kind)
+    out.frombytes(values.astype(f"{kind}{out.itemsize}" if kind == "i" else "f8").tobytes())
+    return out
+
+
 class BackoffAutomaton:
-    """States, arcs and failure arcs over the n-grams of a block, from global counts."""
+    """The weighted automaton that a block's texts can reach, from global counts.
+
+    State 0 is the root; each symbol seen in training is a state of its own, but the end, which is final. Arcs lie in one
+    table by (state, symbol), with a target and a weight each; every state but the root has a failure arc. The root has an
+    arc for every symbol, so a walk never gets stuck.
+    """
 
-    def __init__(self, counts: np.ndarray, total: int, types: int, mu: float = MU):
+    def __init__(self, b: Block, counts: np.ndarray, total: int, types: int, mu: float = MU):
         """counts: global counts of the block's keys, in their order."""
-        self.counts, self.total, self.types, self.mu = counts, total, types, mu
+        odd = (b.keys & ONE) == ONE
+        symbol = np.cumsum(odd) - 1
+        count = counts[odd]
+        p = (count + 1.0) / (total + types + 1.0)
+        states = np.where(count > 0, np.arange(1, len(count) + 1), 0)
+        if len(b.h):
+            states[symbol[b.uni[np.cumsum(b.n) - 1]]] = 0
+        # Context and symbol of each pair that training has, by context, then symbol.
+        context, follows = np.zeros((2, len(b.keys)), dtype=np.int64)
+        context[b.bi], follows[b.bi] = symbol[b.context], symbol[b.uni]
+        pairs = np.flatnonzero(~odd & (counts > 0))
+        pairs = pairs[np.lexsort((follows[pairs], context[pairs]))]
+        v, w = context[pairs], follows[pairs]
+        self.arc_symbol, self.arc_target = _packed("i", w), _packed("i", states[w])
+        self.arc_weight = _packed("d", np.log10((counts[pairs] + mu * p[w]) / (count[v] + mu)))
+        self.arcs_from = _packed("i", np.concatenate([[0], np.searchsorted(v + 1, np.arange(1, len(count) + 2))]))
+        self.root_target, self.root_weight = _packed("i", states), _packed("d", np.log10(p))
+        self.fail_target = _packed("i", np.zeros(len(count) + 1))
+        self.fail_weight = _packed("d", np.concatenate([[0.0], np.log10(mu / (count + mu))]))
+        self.start = int(states[symbol[b.start]])
+        self.symbols, self.known = symbol[b.uni], count > 0
+
+    def step(self, state: int, symbol: int) -> tuple[int, float]:
+        """The state after a symbol and the weight of the way there: failure arcs until a state has an arc for it."""
+        weight = 0.0
+        while state:
+            end = self.arcs_from[state + 1]
+            at = bisect_left(self.arc_symbol, symbol, self.arcs_from[state], end)
+            if at < end and self.arc_symbol[at] == symbol:
+                return self.arc_target[at], weight + self.arc_weight[at]
+            weight += self.fail_weight[state]
+            state = self.fail_target[state]
+        return self.root_target[symbol], weight + self.root_weight[symbol]
+
+    def score(self, symbols: list[int]) -> float:
+        """One traversal of a text from left to right: the state is carried, weights add up."""
+        state, total, step = self.start, 0.0, self.step
+        for symbol in symbols:
+            state, weight = step(state, symbol)
+            total += weight
+        return total
 
     def walk(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text of the block: known tokens, base score, score. One pass from left to right over all tokens."""
-        c, pair, context = self.counts[b.uni], self.counts[b.bi], self.counts[b.context]
-        root = np.log10((c + 1.0) / (self.total + self.types + 1.0))
-        seen = pair > 0
-        arc = np.log10((pair + self.mu * (c + 1.0) / (self.total + self.types + 1.0)) / (context + self.mu))
-        fail = np.where(context > 0, np.log10(self.mu / (context + self.mu)), 0.0)
-        step = np.where(seen, arc, fail + root)
-        return np.add.reduceat((c > 0).astype(np.int64), b.first), np.add.reduceat(root, b.first), np.add.reduceat(step, b.first)
+        """For each text of the block: known tokens, base score, score."""
+        root = np.frombuffer(self.root_weight)[self.symbols]
+        full = [self.score(self.symbols[a : a + n].tolist()) for a, n in zip(b.first, b.n)]
+        return np.add.reduceat(self.known[self.symbols].astype(np.int64), b.first), np.add.reduceat(root, b.first), np.array(full)
 
 
 def is_held_out(id_col: str):
@@ -170,7 +221,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.argsort(got["rng"].to_numpy())
         n, wide = got["n"].to_pylist(), got["wide"].to_pylist()
         counts = np.concatenate([np.frombuffer(n[i], dtype=np.int64 if wide[i] else np.int32).astype(np.int64) for i in order])
-        known, base, full = BackoffAutomaton(counts, total, types, mu).walk(b)
+        known, base, full = BackoffAutomaton(b, counts, total, types, mu).walk(b)
         return pa.table({"_id": t["_id"], "held_out": t["_held"], "n_tokens": pa.array(b.n), "n_known": pa.array(known), "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
 
     replies = blocks.groupBy("_blk").applyInArrow(ask, "rng int, blk int, keys binary, n binary").groupBy("rng").applyInArrow(answer, "_blk int, rng int, n binary, wide boolean")

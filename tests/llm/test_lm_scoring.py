@@ -65,3 +65,34 @@ def test_keys_round_trip():
 def test_empty_table_and_clashing_columns(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert lm.score_documents(spark.createDataFrame([(1, "a", 3)], "doc_id long, text string, score int")).count() == 1
+
+
+def automaton(texts):
+    b = lm.Block(texts, np.ones(len(texts), dtype=bool), lm.WordHash())
+    tokens = [x for t in texts for x in [*t.split(), None]]
+    return b, lm.BackoffAutomaton(b, b.counts(), len(tokens), len(set(tokens)))
+
+
+def test_arcs_and_failure_of_every_state_have_mass_one():
+    texts = ["a b a c", "a b b", "c", ""]
+    b, m = automaton(texts)
+    n, v = 12, 4
+    symbols = range(len(m.root_weight))
+    start = m.start - 1
+    for state in range(len(m.fail_weight)):
+        mass = sum(10 ** m.step(state, s)[1] for s in symbols if s != start) + 10 ** (m.fail_weight[state]) / (n + v + 1)
+        has_arcs = m.arcs_from[state + 1] > m.arcs_from[state] if state else True
+        assert not has_arcs or abs(mass - 1) < 1e-12
+    assert list(m.fail_target) == [0] * len(m.fail_target)
+
+
+def test_state_is_carried():
+    b, m = automaton(["a b a c", "a b b"])
+    state, total = m.start, 0.0
+    for s in m.symbols[:5].tolist():
+        state, weight = m.step(state, s)
+        total += weight
+    assert state == 0  # the end is final
+    assert total == m.score(m.symbols[:5].tolist()) and abs(total - m.walk(b)[2][0]) < 1e-12
+    a, c = m.symbols[0], m.symbols[3]
+    assert m.step(m.start, a)[0] == a + 1 and m.step(c + 1, c)[1] == m.fail_weight[c + 1] + m.root_weight[c]
