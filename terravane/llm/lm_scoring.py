@@ -28,6 +28,7 @@ from .common import WordHash, mix64, words
 
 MU = 200.0
 BLOCK_BYTES, RANGE_KEYS = 12_000_000, 2_500_000
+SIDE_BY_SIDE = 16
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 ONE = np.uint64(1)
 
@@ -86,7 +87,7 @@ def unpack_keys(b: bytes) -> np.ndarray:
 def _packed(kind: str, values: np.ndarray) -> array:
     """Values as an array that single items are read from quickly."""
     out = array(kind)
-    out.frombytes(values.astype(f"{kind}{out.itemsize}" if kind == "i" else "f8").tobytes())
+    out.frombytes(values.astype(kind).tobytes())
     return out
 
 
@@ -94,8 +95,8 @@ class BackoffAutomaton:
     """The weighted automaton that a block's texts can reach, from global counts.
 
     State 0 is the root; each symbol seen in training is a state of its own, but the end, which is final. Arcs lie in one
-    table by (state, symbol), with a target and a weight each; every state but the root has a failure arc. The root has an
-    arc for every symbol, so a walk never gets stuck.
+    table by state * symbols + symbol, with a target and a weight each; every state but the root has a failure arc. The
+    root has an arc for every symbol, so a walk never gets stuck.
     """
 
     def __init__(self, b: Block, counts: np.ndarray, total: int, types: int, mu: float = MU):
@@ -103,50 +104,82 @@ class BackoffAutomaton:
         odd = (b.keys & ONE) == ONE
         symbol = np.cumsum(odd) - 1
         count = counts[odd]
+        self.n = len(count)
         p = (count + 1.0) / (total + types + 1.0)
-        states = np.where(count > 0, np.arange(1, len(count) + 1), 0)
+        states = np.where(count > 0, np.arange(1, self.n + 1), 0)
         if len(b.h):
             states[symbol[b.uni[np.cumsum(b.n) - 1]]] = 0
-        # Context and symbol of each pair that training has, by context, then symbol.
+        # Context and symbol of each pair that training has, by context, then symbol; the root's arcs stand before them.
         context, follows = np.zeros((2, len(b.keys)), dtype=np.int64)
         context[b.bi], follows[b.bi] = symbol[b.context], symbol[b.uni]
         pairs = np.flatnonzero(~odd & (counts > 0))
-        pairs = pairs[np.lexsort((follows[pairs], context[pairs]))]
+        key = (context[pairs] + 1) * self.n + follows[pairs]
+        order = np.argsort(key)
+        pairs, key = pairs[order], key[order]
         v, w = context[pairs], follows[pairs]
-        self.arc_symbol, self.arc_target = _packed("i", w), _packed("i", states[w])
-        self.arc_weight = _packed("d", np.log10((counts[pairs] + mu * p[w]) / (count[v] + mu)))
-        self.arcs_from = _packed("i", np.concatenate([[0], np.searchsorted(v + 1, np.arange(1, len(count) + 2))]))
-        self.root_target, self.root_weight = _packed("i", states), _packed("d", np.log10(p))
-        self.fail_target = _packed("i", np.zeros(len(count) + 1))
+        every = np.arange(self.n)
+        self.arc_key = _packed("q", np.concatenate([every, key]))
+        self.arc_target = _packed("i", states[np.concatenate([every, w])])
+        self.arc_weight = _packed("d", np.concatenate([np.log10(p), np.log10((counts[pairs] + mu * p[w]) / (count[v] + mu))]))
+        self.arcs_from = _packed("i", np.searchsorted(np.frombuffer(self.arc_key, np.int64), np.arange(self.n + 2) * self.n))
+        self.fail_target = _packed("i", np.zeros(self.n + 1))
         self.fail_weight = _packed("d", np.concatenate([[0.0], np.log10(mu / (count + mu))]))
+        self.root_weight = np.frombuffer(self.arc_weight)[: self.n]
         self.start = int(states[symbol[b.start]])
         self.symbols, self.known = symbol[b.uni], count > 0
 
     def step(self, state: int, symbol: int) -> tuple[int, float]:
         """The state after a symbol and the weight of the way there: failure arcs until a state has an arc for it."""
         weight = 0.0
-        while state:
-            end = self.arcs_from[state + 1]
-            at = bisect_left(self.arc_symbol, symbol, self.arcs_from[state], end)
-            if at < end and self.arc_symbol[at] == symbol:
+        while True:
+            key, end = state * self.n + symbol, self.arcs_from[state + 1]
+            at = bisect_left(self.arc_key, key, self.arcs_from[state], end)
+            if at < end and self.arc_key[at] == key:
                 return self.arc_target[at], weight + self.arc_weight[at]
             weight += self.fail_weight[state]
             state = self.fail_target[state]
-        return self.root_target[symbol], weight + self.root_weight[symbol]
 
-    def score(self, symbols: list[int]) -> float:
-        """One traversal of a text from left to right: the state is carried, weights add up."""
-        state, total, step = self.start, 0.0, self.step
+    def steps(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """step for many walks at once, each with a state of its own."""
+        arcs, target, gain = np.frombuffer(self.arc_key, np.int64), np.frombuffer(self.arc_target, np.int32), np.frombuffer(self.arc_weight)
+        key = state * self.n + symbol
+        at = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
+        miss = np.flatnonzero(arcs[at] != key)
+        weight = gain[at]
+        after = target[at].astype(np.int64)
+        if len(miss):
+            failed = state[miss]
+            after[miss], more = self.steps(np.frombuffer(self.fail_target, np.int32)[failed].astype(np.int64), symbol[miss])
+            weight[miss] = np.frombuffer(self.fail_weight)[failed] + more
+        return after, weight
+
+    def score(self, symbols: list[int], state: int | None = None) -> float:
+        """One traversal from left to right: the state is carried, weights add up."""
+        state, total, step = self.start if state is None else state, 0.0, self.step
         for symbol in symbols:
             state, weight = step(state, symbol)
             total += weight
         return total
 
     def walk(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text of the block: known tokens, base score, score."""
-        root = np.frombuffer(self.root_weight)[self.symbols]
-        full = [self.score(self.symbols[a : a + n].tolist()) for a, n in zip(b.first, b.n)]
-        return np.add.reduceat(self.known[self.symbols].astype(np.int64), b.first), np.add.reduceat(root, b.first), np.array(full)
+        """For each text of the block: known tokens, base score, score.
+
+        All texts are walked side by side, a token each at a time; when few are left, they are finished one by one.
+        """
+        order = np.argsort(-b.n, kind="stable")
+        first, left = b.first[order], b.n[order]
+        state, total, t = np.full(len(order), self.start), np.zeros(len(order)), 0
+        active = len(order)
+        while active >= SIDE_BY_SIDE:
+            state[:active], weight = self.steps(state[:active], self.symbols[first[:active] + t])
+            total[:active] += weight
+            t += 1
+            active = int(np.searchsorted(-left, -t))
+        for i in range(active):
+            total[i] += self.score(self.symbols[first[i] + t : first[i] + left[i]].tolist(), int(state[i]))
+        full = np.empty(len(order))
+        full[order] = total
+        return np.add.reduceat(self.known[self.symbols].astype(np.int64), b.first), np.add.reduceat(self.root_weight[self.symbols], b.first), full
 
 
 def is_held_out(id_col: str):

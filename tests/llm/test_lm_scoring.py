@@ -96,3 +96,12 @@ def test_state_is_carried():
     assert total == m.score(m.symbols[:5].tolist()) and abs(total - m.walk(b)[2][0]) < 1e-12
     a, c = m.symbols[0], m.symbols[3]
     assert m.step(m.start, a)[0] == a + 1 and m.step(c + 1, c)[1] == m.fail_weight[c + 1] + m.root_weight[c]
+
+
+def test_side_by_side_equals_one_by_one():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(0, 90, 60)]
+    b = lm.Block(texts, np.arange(60) % 3 > 0, lm.WordHash())
+    m = lm.BackoffAutomaton(b, b.counts(), 2000, 9)
+    alone = [m.score(m.symbols[a : a + n].tolist()) for a, n in zip(b.first, b.n)]
+    assert np.abs(m.walk(b)[2] - alone).max() < 1e-9
