@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import WordHash, mix64, words
+from .common import WordHash, give_back, mix64, words
 
 MU = 200.0
 BLOCK_BYTES, RANGE_KEYS = 12_000_000, 2_500_000
@@ -62,6 +62,7 @@ class Block:
         keys = np.concatenate([unigram_key(self.h), bigram_key(self.before, self.h), unigram_key(start)]) if n else unigram_key(start)
         # Sorted distinct keys; where each token's symbol, its pair and its context stand among them.
         self.keys, at = np.unique(keys, return_inverse=True)
+        at = at.astype(np.int32)  # a block has fewer keys than 2^31
         self.uni, self.bi, self.start = at[:n], at[n : 2 * n], at[-1]
         self.context = np.concatenate([at[:1], self.uni[:-1]]) if n else self.uni
         self.context[self.first] = self.start
@@ -255,6 +256,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n, wide = got["n"].to_pylist(), got["wide"].to_pylist()
         counts = np.concatenate([np.frombuffer(n[i], dtype=np.int64 if wide[i] else np.int32).astype(np.int64) for i in order])
         known, base, full = BackoffAutomaton(b, counts, total, types, mu).walk(b)
+        give_back()
         return pa.table({"_id": t["_id"], "held_out": t["_held"], "n_tokens": pa.array(b.n), "n_known": pa.array(known), "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(full)})
 
     replies = blocks.groupBy("_blk").applyInArrow(ask, "rng int, blk int, keys binary, n binary").groupBy("rng").applyInArrow(answer, "_blk int, rng int, n binary, wide boolean")
