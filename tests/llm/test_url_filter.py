@@ -42,3 +42,11 @@ def test_sql_twin_and_clashing_columns(spark, tmp_path):
 
 def test_empty(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string"), uf.labelled_table(spark)).count() == 0
+
+
+def test_hosts_that_are_not_in_the_table(spark):
+    seen = {u.split("/")[2] for u, _ in uf.LABELLED}
+    new = [(u, y) for u, y in uf.labelled_urls(13) if u.split("/")[2] not in seen]
+    assert len(new) > 200 and len({u for u, _ in uf.LABELLED}) == len(uf.LABELLED) > 300
+    got = uf.judge(spark.createDataFrame(new, "url string, label int"), uf.labelled_table(spark), rules=()).collect()
+    assert sum((r.verdict == "block") == (r.label == 1) for r in got) / len(got) >= 0.95
