@@ -12,7 +12,7 @@ from terravane.sources.store import Store, StoreError
 
 from .fixtures import JAVA, write_tree
 
-P = "com.example.customer."
+P = "org.tidal.gauge."
 
 
 @pytest.fixture(scope="module")
@@ -31,51 +31,54 @@ def rules(m):
 
 def test_lineage_rules(estate):
     got = rules(estate[2])
-    service = "method:CustomerService#createCustomer(CustomerRequest)"
-    assert got["MAPS_TO", "type:CustomerEntity", "sql:table:customer"] == ("RESOLVED", "1.00", True)
-    assert got["MAPS_TO", "type:AuditLog", "sql:table:auditlog"] == ("INFERRED", "0.60", False)
-    assert got["WRITES_TO", service, "sql:table:customer"] == ("RESOLVED", "0.90", True)
-    assert got["INVOKES", service, "CustomerMapper#toEntity(CustomerRequest)".join(["method:", ""])] == ("RESOLVED", "0.95", True)
-    assert got["INVOKES", service, "AnalyticsClient#push"] == ("UNRESOLVED", "0.40", False)
-    for impl in ("EmailSender", "SmsSender"):
-        assert got["INVOKES", service, f"method:{impl}#send(CustomerEntity)"] == ("INFERRED", "0.50", True)
-    assert got["VALIDATED_BY", "type:CustomerRequest", "method:CustomerValidator#validate(CustomerRequest)"] == ("RESOLVED", "0.90", True)
-    assert got["READS_FROM", "method:CustomerDao#a()", "sql:table:customer"] == ("RESOLVED", "0.95", True)
-    assert got["READS_FROM", "method:CustomerDao#c(String)", "sql:table:customer"] == ("INFERRED", "0.60", False)
-    assert got["WRITES_TO", "method:CustomerDao#d()", "sql:table:legacy_cache"] == ("RESOLVED", "0.95", True)
-    up = "ada:procedure:Mission_Data.Update(Route_Type)"
-    assert got["WRITES_TO", up, "ada:variable:Mission_Data.Current_Route"] == ("RESOLVED", "0.85", True)
-    assert got["WRITES_TO", "ada:procedure:Mission_Main", "ada:variable:Mission_Data.Status"] == ("RESOLVED", "0.90", True)
-    assert got["WRITES_TO", up, "ada:sink:console_output"] == ("RESOLVED", "0.85", True)
-    assert got["INVOKES", up, "Telemetry.Send"] == ("UNRESOLVED", "0.40", False)
-    assert got["INVOKES", "ada:procedure:Mission_Main", up] == ("RESOLVED", "0.95", True)
-    assert got["PRODUCES", "ada:function:Mission_Data.To_Route(Raw_Types.Raw_Data)", "ada:type:Mission_Data.Route_Type"] == ("RESOLVED", "0.85", True)
-    assert got["REFERENCES", "sql:table:mission", "sql:table:customer"][2] and not got["REFERENCES", "sql:table:mission", "ghost"][2]
+    enter = "method:TideLedger#enter(Sounding)"
+    assert got["MAPS_TO", "type:Reading", "sql:table:reading"] == ("RESOLVED", "1.00", True)
+    assert got["MAPS_TO", "type:GaugeVisit", "sql:table:gaugevisit"] == ("INFERRED", "0.60", False)
+    assert got["WRITES_TO", enter, "sql:table:reading"] == ("RESOLVED", "0.90", True)
+    assert got["READS_FROM", "method:TideLedger#since(int)", "sql:table:reading"] == ("RESOLVED", "0.90", True)
+    assert got["INVOKES", enter, "method:Chart#isLow(String,int)"] == ("RESOLVED", "0.95", True)
+    assert got["INVOKES", enter, "method:TideLedger#fromSounding(Sounding)"] == ("RESOLVED", "0.95", True)
+    assert got["INVOKES", enter, "PressureFeed#stormAhead"] == ("UNRESOLVED", "0.40", False)
+    for impl in ("Siren", "Pager"):
+        assert got["INVOKES", enter, f"method:{impl}#raise(Sounding)"] == ("INFERRED", "0.50", True)
+    assert got["PRODUCES", "method:TideLedger#fromSounding(Sounding)", "type:Reading"] == ("RESOLVED", "0.90", True)
+    assert got["VALIDATED_BY", "type:Sounding", "method:TideLedger#validateDepth(Sounding)"] == ("RESOLVED", "0.90", True)
+    assert got["READS_FROM", "method:Archive#yearly()", "sql:table:reading"] == ("RESOLVED", "0.95", True)
+    assert got["READS_FROM", "method:Archive#near(String)", "sql:table:reading"] == ("INFERRED", "0.60", False)
+    assert got["WRITES_TO", "method:Archive#prune()", "sql:table:old_tide"] == ("RESOLVED", "0.95", True)
+    turn = "ada:procedure:Valves.Turn(Opening)"
+    assert got["WRITES_TO", turn, "ada:variable:Valves.Present"] == ("RESOLVED", "0.85", True)
+    assert got["WRITES_TO", "ada:procedure:Watering", "ada:variable:Valves.Pressure"] == ("RESOLVED", "0.90", True)
+    assert got["WRITES_TO", turn, "ada:sink:console_output"] == ("RESOLVED", "0.85", True)
+    assert got["INVOKES", turn, "Pump_Link.Halt"] == ("UNRESOLVED", "0.40", False)
+    assert got["INVOKES", "ada:procedure:Watering", turn] == ("RESOLVED", "0.95", True)
+    assert got["PRODUCES", "ada:function:Valves.To_Opening(Sensors.Moisture)", "ada:type:Valves.Opening"] == ("RESOLVED", "0.85", True)
+    assert got["REFERENCES", "sql:table:gauge", "sql:table:reading"][2] and not got["REFERENCES", "sql:table:gauge", "buoy"][2]
 
 
 def test_entities(estate):
     e = {r.id: r for r in estate[2].entities.collect()}
-    assert e["sql:table:customer"].attrs["declaredIn"] == "db/schema.sql:2" and e["sql:table:auditlog"].loc is None and "sql:table:ghost" not in e
-    up = e["ada:procedure:Mission_Data.Update(Route_Type)"]
-    assert up.attrs["hasSpec"] == up.attrs["hasBody"] == "true" and up.loc.file == "ada/mission_data.ads"
-    assert e[f"java:type:{P}CustomerResponse"].attrs["role"] == "dto-response" and e["file:data.bin"].attrs["parseStatus"] == "UNREADABLE"
+    assert e["sql:table:reading"].attrs["declaredIn"] == "db/schema.sql:2" and e["sql:table:gaugevisit"].loc is None and "sql:table:buoy" not in e
+    up = e["ada:procedure:Valves.Turn(Opening)"]
+    assert up.attrs["hasSpec"] == up.attrs["hasBody"] == "true" and up.loc.file == "ada/valves.ads"
+    assert e[f"java:type:{P}Receipt"].attrs["role"] == "dto-response" and e["file:data.bin"].attrs["parseStatus"] == "UNREADABLE"
 
 
 def test_api(estate):
     api = estate[3]
-    t = api.trace_data_lineage("java:endpoint:POST:/customers").value
-    assert any(p["nodes"][-1] == "sql:table:customer" for p in t["paths"]) and {"UNRESOLVED_TARGET", "AMBIGUOUS_IMPLEMENTATION", "EXTERNAL_CONSUMER"} <= {g["reason"] for g in t["gaps"]}
-    up = api.trace_data_lineage("sql:table:customer", "up").value
-    assert any("java:endpoint:POST:/customers" in p["nodes"] for p in up["paths"])
-    assert api.find_entity("POST /customers").value["id"] == "java:endpoint:POST:/customers"
-    assert api.find_entity("CustomerService").total >= 1 and api.get_entity("x").value is None
-    assert "unusedHelper" in str(api.find_dead_code_candidates().value)
-    impact = api.calculate_change_impact(f"java:method:{P}CustomerService#createCustomer(CustomerRequest)").value
-    assert impact["direct"] and any(r["from_id"].endswith("CustomerDao#a()") for r in impact["database"])
-    owner = api.get_build_membership("file:app/src/App.java").value
-    assert [o["from_id"] for o in owner] == ["build:module:com.example:mission-app"]
-    assert api.get_configuration_references().value[0]["to_id"] == f"java:type:{P}CustomerMapper"
-    assert api.get_repository_summary().value["tables"] == ["audit_log", "auditlog", "customer", "legacy_cache", "mission"]
+    t = api.trace_data_lineage("java:endpoint:PUT:/readings/{gauge}").value
+    assert any(p["nodes"][-1] == "sql:table:reading" for p in t["paths"]) and {"UNRESOLVED_TARGET", "AMBIGUOUS_IMPLEMENTATION", "EXTERNAL_CONSUMER"} <= {g["reason"] for g in t["gaps"]}
+    up = api.trace_data_lineage("sql:table:reading", "up").value
+    assert any("java:endpoint:PUT:/readings/{gauge}" in p["nodes"] for p in up["paths"])
+    assert api.find_entity("PUT /readings/{gauge}").value["id"] == "java:endpoint:PUT:/readings/{gauge}"
+    assert api.find_entity("TideLedger").total >= 1 and api.get_entity("x").value is None
+    assert "springTide" in str(api.find_dead_code_candidates().value)
+    impact = api.calculate_change_impact(f"java:method:{P}TideLedger#enter(Sounding)").value
+    assert impact["direct"] and any(r["from_id"].endswith("Archive#yearly()") for r in impact["database"])
+    owner = api.get_build_membership("file:web/src/Boot.java").value
+    assert [o["from_id"] for o in owner] == ["build:module:org.tidal:tide-web"]
+    assert api.get_configuration_references().value[0]["to_id"] == f"java:type:{P}Chart"
+    assert api.get_repository_summary().value["tables"] == ["gauge", "gaugevisit", "old_tide", "reading", "visit_log"]
     assert len(OPERATIONS) == 21 and all(callable(getattr(api, o)) for o in OPERATIONS)
     assert api.get_callers("nope").note and json.loads(api.get_data_sinks().to_json())["totalMatches"] == 1
 
@@ -89,19 +92,19 @@ def test_reports_and_workflows(estate, tmp_path):
     for kind in ("dependency", "call", "dead-code"):
         assert reports.graph(api, kind)["nodes"]
     assert reports.to_csv([{"a": "=1"}, {"a": "x"}], ["a"]) == "a\n'=1\nx\n"
-    assert len(workflows.orient(api)) == 8 and workflows.investigate(api, "sql:table:customer")["origin"]
+    assert len(workflows.orient(api)) == 8 and workflows.investigate(api, "sql:table:reading")["origin"]
     o = workflows.onboard(api)
     assert len(o.stages) == 12 and not o.partial, o.partial
     with pytest.raises(ValueError):
         o.write(os.path.join(root, "out"), root)
     o.write(str(tmp_path / "o"), root)
-    assert workflows.summarize(api, f"java:type:{P}CustomerService")["members"]
+    assert workflows.summarize(api, f"java:type:{P}TideLedger")["members"]
 
 
 def test_rescan_reuses_and_failure_keeps_the_snapshot(spark, estate, monkeypatch):
     root, store, m, _ = estate
     before = sorted(map(str, m.relationships.select("from_id", "to_id", "kind", "status").collect()))
-    with open(os.path.join(root, JAVA, "CustomerRequest.java"), "a") as f:
+    with open(os.path.join(root, JAVA, "Sounding.java"), "a") as f:
         f.write("// more\n")
     again = scan(spark, root, store)
     assert sorted(map(str, again.relationships.select("from_id", "to_id", "kind", "status").collect())) == before and again.scan_id != m.scan_id

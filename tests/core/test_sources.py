@@ -64,28 +64,28 @@ public class A<T extends Comparable<T>> {
 
 
 def test_endpoints_and_repository():
-    by, f = facts("src/main/java/com/example/customer/CustomerController.java")
-    post = by["java:endpoint:POST:/customers"]["attrs"]
-    assert post["requestBodyType"] == "CustomerRequest" and post["validated"] == "true" and "java:endpoint:GET:/customers/{id}" in by
-    assert by["java:endpoint:GET:/customers/{id}"]["attrs"]["httpParams"] == "id:path"
-    by, _ = facts("src/main/java/com/example/customer/CustomerRepository.java")
-    assert by["java:type:com.example.customer.CustomerRepository"]["attrs"]["managedEntityType"] == "CustomerEntity"
+    by, f = facts("src/main/java/org/tidal/gauge/TideDesk.java")
+    put = by["java:endpoint:PUT:/readings/{gauge}"]["attrs"]
+    assert put["requestBodyType"] == "Sounding" and put["validated"] == "true" and "java:endpoint:GET:/readings" in by
+    assert by["java:endpoint:GET:/readings"]["attrs"]["httpParams"] == "hours:query" and put["httpParams"] == "gauge:path"
+    by, _ = facts("src/main/java/org/tidal/gauge/ReadingStore.java")
+    assert by["java:type:org.tidal.gauge.ReadingStore"]["attrs"]["managedEntityType"] == "Reading"
     f = java.extract("E.java", 'class E { @GetMapping(PATH + "/x") Optional<List<Dto>> a() { } }', "h")
     e = next(e for e in f.entities if e["kind"] == "ENDPOINT")
     assert e["attrs"]["httpPathUnresolved"] == "true" and e["name"].startswith("GET {unresolved:") and e["attrs"]["returnTypeNormalized"] == "Dto"
 
 
 def test_sql_in_java():
-    by, _ = facts("src/main/java/com/example/customer/CustomerDao.java")
+    by, _ = facts("src/main/java/org/tidal/gauge/Archive.java")
     a = {k.rsplit("#", 1)[-1]: e["attrs"] for k, e in by.items() if "#" in k}
-    assert a["a()"]["sqlReads"] == "customer" and a["b()"]["sqlWrites"] == "audit_log" and a["c(String)"]["sqlDynamic"] == "true" and a["d()"]["sqlWrites"] == "legacy_cache"
+    assert a["yearly()"]["sqlReads"] == "reading" and a["visited()"]["sqlWrites"] == "visit_log" and a["near(String)"]["sqlDynamic"] == "true" and a["prune()"]["sqlWrites"] == "old_tide"
 
 
 def test_ddl_config_build():
     by, f = facts("db/schema.sql")
-    assert by["sql:field:mission.id"]["attrs"]["primaryKey"] == "true" and by["sql:field:customer.name"]["attrs"] == {"sqlType": "VARCHAR(50)", "primaryKey": "false", "notNull": "true", "externallyExposed": "true"}
-    assert by["sql:table:mission"]["attrs"]["declaredIn"] == "db/schema.sql:3"
-    assert [(r["from_id"], r["to_id"]) for r in f.relationships if r["kind"] == "REFERENCES"] == [("sql:table:mission", "customer"), ("sql:table:mission", "ghost")]
+    assert by["sql:field:gauge.code"]["attrs"]["primaryKey"] == "true" and by["sql:field:reading.level"]["attrs"] == {"sqlType": "VARCHAR(8)", "primaryKey": "false", "notNull": "true", "externallyExposed": "true"}
+    assert by["sql:table:gauge"]["attrs"]["declaredIn"] == "db/schema.sql:3"
+    assert [(r["from_id"], r["to_id"]) for r in f.relationships if r["kind"] == "REFERENCES"] == [("sql:table:gauge", "reading"), ("sql:table:gauge", "buoy")]
     by, f = facts("src/main/resources/application.properties")
     assert by["config:src/main/resources/application.properties"]["attrs"] == {"format": "properties", "references": "1", "secretKeysMasked": "2"}
     y = config.extract("a.yml", "app:\n  mapper:\n    impl: 'com.acme.Mapper' # c\n  low: com.acme.mapper\n", "h")
@@ -93,11 +93,11 @@ def test_ddl_config_build():
     x = config.extract("a.xml", '<beans><bean class="com.acme.Dao" password="com.acme.P"/><v>com.acme.Val</v></beans>', "h")
     assert [r["attrs"]["configKey"] for r in x.relationships if r["kind"] == "CONFIGURES"] == ["bean@class", "v"]
     assert config.extract("a.xml", SEEDS[-1], "h").issues
-    by, f = facts("app/pom.xml")
-    assert "build:module:com.example:mission-app" in by
-    assert [(r["to_id"], r["attrs"]["scope"]) for r in f.relationships if r["kind"] == "DEPENDS_ON"] == [("com.example:mission-root", "compile"), ("org.slf4j:slf4j-api", "runtime")]
-    by, f = facts("ada/mission.gpr")
-    assert [(r["kind"], r["to_id"], r["loc"]["s_line"]) for r in f.relationships if not r["resolved"]] == [("DECLARES_MAIN", "mission_main", 3), ("DEPENDS_ON", "base", 1)]
+    by, f = facts("web/pom.xml")
+    assert "build:module:org.tidal:tide-web" in by
+    assert [(r["to_id"], r["attrs"]["scope"]) for r in f.relationships if r["kind"] == "DEPENDS_ON"] == [("org.tidal:tide-parent", "compile"), ("org.jdbi:jdbi3-core", "runtime")]
+    by, f = facts("ada/irrigation.gpr")
+    assert [(r["kind"], r["to_id"], r["loc"]["s_line"]) for r in f.relationships if not r["resolved"]] == [("DECLARES_MAIN", "watering", 3), ("DEPENDS_ON", "shared", 1)]
     g = build.extract("lib/build.gradle", "group = 'g'\nimplementation project(':core')\napi 'a:b:1' // x\ninclude ':x:y', 'z'\n", "h")
     assert g.entities[0]["qualified_name"] == "g:lib" and g.entities[0]["attrs"]["includes"] == "x/y,z" and {r["to_id"] for r in g.relationships if r["kind"] == "DEPENDS_ON"} == {"core", "a:b"}
 
@@ -128,7 +128,7 @@ def test_scan_source(spark, tmp_path):
     write_tree(str(tmp_path))
     files = {r.path: r for r in scan.describe(scan.read_tree(spark, str(tmp_path))).collect()}
     assert ".hidden/_private.properties" in files and "target/Skipped.java" not in files
-    assert files["pom.xml"].language == "xml" and files["ada/mission.gpr"].category == "BUILD" and files["data.bin"].category == "OTHER"
+    assert files["pom.xml"].language == "xml" and files["ada/irrigation.gpr"].category == "BUILD" and files["data.bin"].category == "OTHER"
     with pytest.raises(scan.ScanError):
         scan.walk(str(tmp_path), scan.Limits(files=3))
     assert scan.index_location("/a/b").startswith("b-") and len(scan.index_location("/a/b")) == 10
