@@ -9,8 +9,10 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .model import attr
 from .plans import estate as es
 from .queries import query
+from .session import durable
 from .sources.scan import extract
 
 #: Names that templates use in double angle marks, by table: expressions that Spark and DuckDB read alike.
@@ -229,3 +231,163 @@ BUILD_FACTS = [
 @query(expected("supplier", BUILD_FACTS))
 def extract_build(spark, d):
     return facts(extract(tree(spark, d, "supplier", BUILD)))
+
+
+#: One small system for each supplier: a Java service with every kind of field and call that a rule knows, an Ada unit with state, console and calls.
+_JP = "s<<k>>/src/"
+_class = lambda name, body="", head="class": (_JP + name + ".java", f"package estate.s<<k>>;\n{head} {name} {{{body}}}\n")
+SYSTEM = [
+    (_JP + "Desk<<k>>.java", """package estate.s<<k>>;
+@RestController
+@RequestMapping("/s<<k>>")
+public class Desk<<k>> {
+  private Ledger<<k>> ledger;
+  @PutMapping("/{id}")
+  Receipt<<k>> record(@Valid @RequestBody Sounding<<k>> sounding) { return ledger.enter(sounding); }
+}
+"""),
+    (_JP + "Ledger<<k>>.java", """package estate.s<<k>>;
+@Service
+public class Ledger<<k>> {
+  private Store<<k>> store;
+  private Logs<<k>> logs;
+  private Feed<<k>> feed;
+  private Horn<<k>> horn;
+  private Bell<<k>> bell;
+  public Receipt<<k>> enter(Sounding<<k>> sounding) {
+    validateDepth(sounding);
+    feed.poll(<<n>>);
+    horn.blow(sounding);
+    bell.ring(sounding);
+    Reading<<k>> next = asReading(sounding);
+    store.save(next);
+    store.flush();
+    logs.findLast();
+    return toReceipt(next);
+  }
+  private Reading<<k>> asReading(Sounding<<k>> sounding) { return new Reading<<k>>(); }
+  private Receipt<<k>> toReceipt(Reading<<k>> reading) { return null; }
+  private void validateDepth(Sounding<<k>> sounding) { }
+  void audit() { run("SELECT a FROM audit<<k>> WHERE n = <<n>>"); }
+  void purge() { run("DELETE FROM old<<k>> WHERE n = " + nation()); }
+}
+"""),
+    _class("Reading<<k>>", head='@Entity @Table(name = "reading_<<n>>_<<k>>") class'), _class("Log<<k>>", head="@Entity class"), _class("Receipt<<k>>"), _class("Sounding<<k>>"),
+    (_JP + "Store<<k>>.java", "package estate.s<<k>>;\ninterface Store<<k>> extends JpaRepository<Reading<<k>>, Long> { }\n"),
+    (_JP + "Logs<<k>>.java", "package estate.s<<k>>;\ninterface Logs<<k>> extends CrudRepository<Log<<k>>, Long> { Log<<k>> findLast(); }\n"),
+    _class("Horn<<k>>", " void blow(Sounding<<k>> sounding); ", "interface"), _class("Bell<<k>>", " void ring(Sounding<<k>> sounding); ", "interface"),
+    *((_JP + f"{c}<<k>>.java", f"package estate.s<<k>>;\nclass {c}<<k>> implements {i}<<k>> {{ public void {m}(Sounding<<k>> sounding) {{ }} }}\n") for c, i, m in (("Brass", "Horn", "blow"), ("High", "Bell", "ring"), ("Low", "Bell", "ring"))),
+    ("s<<k>>/ada/state<<k>>.ads", """package State<<k>> is
+   Depth : Integer;
+   type Raw<<k>> is new Integer;
+   type Fix<<k>> is new Integer;
+   function To_Fix (R : Raw<<k>>) return Fix<<k>>;
+   function Smooth (R : Raw<<k>>) return Fix<<k>>;
+   procedure Clear;
+end State<<k>>;
+"""),
+    ("s<<k>>/ada/ops<<k>>.adb", """with Ada.Text_IO;
+with State<<k>>, Radio<<k>>;
+package body Ops<<k>> is
+   Count : Integer := <<n>>;
+   procedure Twin<<k>> (A : Integer) is
+   begin
+      null;
+   end Twin<<k>>;
+   procedure Twin<<k>> (A : Boolean) is
+   begin
+      null;
+   end Twin<<k>>;
+   procedure Step<<k>> is
+   begin
+      null;
+   end Step<<k>>;
+   procedure Run is
+   begin
+      State<<k>>.Depth := <<n>>;
+      Count := Count + 1;
+      State<<k>>.Clear;
+      Step<<k>>;
+      Twin<<k>> (1);
+      Ada.Text_IO.Put_Line ("Step");
+      Ada.Text_IO.Get_Line (Line, Last);
+      Radio<<k>>.Send (1);
+   end Run;
+end Ops<<k>>;
+"""),
+]
+
+
+def model(spark, d):
+    from .plans.pipeline import build_model
+
+    return build_model(durable(extract(tree(spark, d, "supplier", SYSTEM))), "estate", "scan")
+
+
+def _j(name: str) -> str:
+    """java type or, with #, method of a supplier's system."""
+    return f"java:{'method' if '#' in name else 'type'}:estate.s<<k>>.{name}"
+
+
+_ENTER, _RUN = _j("Ledger<<k>>#enter(Sounding<<k>>)"), "ada:procedure:Ops<<k>>.Run"
+_AS, _TO, _ENDP = _j("Ledger<<k>>#asReading(Sounding<<k>>)"), _j("Ledger<<k>>#toReceipt(Reading<<k>>)"), "java:endpoint:PUT:/s<<k>>/{id}"
+_READING, _LOG = "sql:table:reading_<<n>>_<<k>>", "sql:table:log<<k>>"
+_SMOOTH, _FIX = "ada:function:State<<k>>.Smooth(Raw<<k>>)", "ada:function:State<<k>>.To_Fix(Raw<<k>>)"
+#: (from, kind, to, rule, confidence, status); the rules' ids and weights are fixed values.
+RULE_EDGES = [
+    (_j("Desk<<k>>"), "EXPOSES", _ENDP, "ENDPOINT-001", "1.00", "DISCOVERED"), (_ENDP, "INVOKES", _j("Desk<<k>>#record(Sounding<<k>>)"), "ENDPOINT-001", "1.00", "DISCOVERED"),
+    (_ENDP, "CONSUMES", _j("Sounding<<k>>"), "ENDPOINT-002", "0.95", "RESOLVED"), (_ENDP, "PRODUCES", _j("Receipt<<k>>"), "ENDPOINT-002", "0.95", "RESOLVED"),
+    (_j("Reading<<k>>"), "MAPS_TO", _READING, "JPA-TABLE-001", "1.00", "RESOLVED"), (_j("Log<<k>>"), "MAPS_TO", _LOG, "JPA-TABLE-002", "0.60", "INFERRED"),
+    (_j("Store<<k>>"), "MANAGES", _j("Reading<<k>>"), "REPOSITORY-001", "1.00", "RESOLVED"), (_j("Logs<<k>>"), "MANAGES", _j("Log<<k>>"), "REPOSITORY-001", "1.00", "RESOLVED"),
+    (_j("Store<<k>>"), "PERSISTS_TO", _READING, "REPOSITORY-002", "0.95", "RESOLVED"), (_j("Logs<<k>>"), "PERSISTS_TO", _LOG, "REPOSITORY-002", "0.60", "INFERRED"),
+    (_j("Desk<<k>>#record(Sounding<<k>>)"), "INVOKES", _ENTER, "CALL-001", "0.95", "RESOLVED"), *((_ENTER, "INVOKES", t, "CALL-001", "0.95", "RESOLVED") for t in (_AS, _TO, _j("Ledger<<k>>#validateDepth(Sounding<<k>>)"), _j("Logs<<k>>#findLast()"))),
+    (_ENTER, "INVOKES", "Feed<<k>>#poll", "UNRESOLVED-001", "0.40", "UNRESOLVED"), (_ENTER, "INVOKES", _j("Brass<<k>>#blow(Sounding<<k>>)"), "DI-001", "0.90", "RESOLVED"),
+    *((_ENTER, "INVOKES", _j(f"{c}<<k>>#ring(Sounding<<k>>)"), "DI-002", "0.50", "INFERRED") for c in ("High", "Low")),
+    (_ENTER, "WRITES_TO", _READING, "WRITE-001", "0.90", "RESOLVED"), (_ENTER, "USES", _READING, "REPOSITORY-003", "0.70", "RESOLVED"), (_ENTER, "READS_FROM", _LOG, "READ-001", "0.54", "INFERRED"),
+    (_j("Ledger<<k>>#audit()"), "READS_FROM", "sql:table:audit<<k>>", "SQL-001", "0.95", "RESOLVED"), (_j("Ledger<<k>>#purge()"), "WRITES_TO", "sql:table:old<<k>>", "SQL-002", "0.60", "INFERRED"),
+    (_AS, "CONSUMES", _j("Sounding<<k>>"), "MAP-001", "0.90", "RESOLVED"), (_AS, "PRODUCES", _j("Reading<<k>>"), "MAP-001", "0.90", "RESOLVED"),
+    (_TO, "CONSUMES", _j("Reading<<k>>"), "MAP-002", "0.60", "INFERRED"), (_TO, "PRODUCES", _j("Receipt<<k>>"), "MAP-002", "0.60", "INFERRED"),
+    (_j("Sounding<<k>>"), "VALIDATED_BY", _j("Ledger<<k>>#validateDepth(Sounding<<k>>)"), "VALIDATION-001", "0.90", "RESOLVED"),
+    (_RUN, "WRITES_TO", "ada:variable:State<<k>>.Depth", "ADA-WRITE-001", "0.90", "RESOLVED"), (_RUN, "WRITES_TO", "ada:variable:Ops<<k>>.Count", "ADA-WRITE-001", "0.85", "RESOLVED"),
+    (_RUN, "READS_FROM", "ada:variable:Ops<<k>>.Count", "ADA-READ-001", "0.85", "RESOLVED"),
+    (_RUN, "INVOKES", "ada:procedure:State<<k>>.Clear", "ADA-CALL-001", "0.95", "RESOLVED"), (_RUN, "INVOKES", "ada:procedure:Ops<<k>>.Step<<k>>", "ADA-CALL-001", "0.85", "RESOLVED"),
+    *((_RUN, "INVOKES", f"ada:procedure:Ops<<k>>.Twin<<k>>({t})", "ADA-CALL-002", "0.50", "INFERRED") for t in ("Integer", "Boolean")),
+    (_RUN, "WRITES_TO", "ada:sink:console_output", "ADA-IO-002", "0.85", "RESOLVED"), (_RUN, "READS_FROM", "ada:source:console_input", "ADA-IO-001", "0.85", "RESOLVED"),
+    (_RUN, "INVOKES", "Radio<<k>>.Send", "ADA-EXTERNAL-001", "0.40", "UNRESOLVED"),
+    *((f, k, f"ada:type:State<<k>>.{t}<<k>>", r, c, s) for f, r, c, s in ((_FIX, "ADA-MAP-001", "0.85", "RESOLVED"), (_SMOOTH, "ADA-MAP-002", "0.60", "INFERRED")) for k, t in (("CONSUMES", "Raw"), ("PRODUCES", "Fix"))),
+]
+
+
+def expected_rules(rows) -> str:
+    return " UNION ALL ".join(f"SELECT {sql('supplier', a)} AS from_id, '{k}' AS kind, {sql('supplier', b)} AS to_id, '{r}' AS rule, '{c}' AS confidence, '{s}' AS status FROM supplier" for a, k, b, r, c, s in rows)
+
+
+@query(expected_rules(RULE_EDGES))
+def lineage_rules(spark, d):
+    r = model(spark, d).relationships
+    return r.where(attr("ruleId").isNotNull()).select("from_id", "kind", "to_id", attr("ruleId").alias("rule"), attr("confidence").alias("confidence"), "status")
+
+
+_typed = lambda owner, kind, *names: [(_j(f"{owner}<<k>>"), kind, _j(f"{n}<<k>>")) for n in names]
+#: References by name that have at most eight bearers, linked once for each reference; Java calls are left to the rules.
+LINKED = [
+    *_typed("Desk", "REFERENCES", "Ledger", "Receipt", "Sounding"), *_typed("Ledger", "REFERENCES", "Store", "Logs", "Horn", "Bell", "Receipt", "Receipt", "Reading", "Reading", "Sounding", "Sounding", "Sounding"),
+    *_typed("Logs", "REFERENCES", "Log"), *(x for c in ("Horn", "Bell", "Brass", "High", "Low") for x in _typed(c, "REFERENCES", "Sounding")),
+    *_typed("Brass", "IMPLEMENTS", "Horn"), *_typed("High", "IMPLEMENTS", "Bell"), *_typed("Low", "IMPLEMENTS", "Bell"), (_AS, "INSTANTIATES", _j("Reading<<k>>")),
+    (_RUN, "CALLS", "ada:procedure:Ops<<k>>.Step<<k>>"), *((_RUN, "CALLS", f"ada:procedure:Ops<<k>>.Twin<<k>>({t})") for t in ("Integer", "Boolean")),
+]
+
+
+def expected_links(rows) -> str:
+    return " UNION ALL ".join(f"SELECT {sql('supplier', a)} AS from_id, '{k}' AS kind, {sql('supplier', b)} AS to_id, 'RESOLVED' AS status FROM supplier" for a, k, b in rows)
+
+
+@query(expected_links(LINKED))
+def linked_references(spark, d):
+    from .operators import analysis as an
+    from .operators import resolution as rs
+    from .plans.pipeline import _rows
+
+    rows, edges = _rows(durable(extract(tree(spark, d, "supplier", SYSTEM))), "estate")
+    links = rs.link(rs.resolve(durable(an.merge_entities(rows)[0]), durable(edges)))
+    return links.where("NOT (kind = 'CALLS' AND startswith(from_id, 'java:'))").select("from_id", "kind", "to_id", "status")
