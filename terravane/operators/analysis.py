@@ -122,6 +122,13 @@ def build_membership(modules: DataFrame, files: DataFrame) -> DataFrame:
     return best.select("file_id", "b.module_id")
 
 
+def max_member_complexity(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and max_complexity: the largest complexity of what an entity directly contains; members without one count 0."""
+    inside = edges.where("kind = 'CONTAINS' AND resolved").select(F.col("from_id").alias("id"), F.col("to_id").alias("_part"))
+    parts = entities.select(F.col("id").alias("_p"), int_attr("cyclomaticComplexity", 0).alias("cx"))
+    return inside.join(parts, F.col("_part") == F.col("_p")).groupBy("id").agg(F.max("cx").alias("max_complexity"))
+
+
 def central_score(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """5 in + 2 out + 8 lineage + 10 entry + 6 data + 12 boundary + min(complexity, 20) + min(unresolved, 5), above 0."""
     in_, out = fan(entities, edges, True).select(F.col("id").alias("_i"), F.col("n").alias("fan_in")), fan(entities, edges, False).select(F.col("id").alias("_o"), F.col("n").alias("fan_out"))

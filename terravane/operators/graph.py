@@ -148,7 +148,12 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFr
 
 
 def trace_all(edges: DataFrame, starts: DataFrame, depth: int = DEPTH, most: int = MAX_PATHS) -> DataFrame:
-    """The paths that a trace down from each start (id) gives, `most` for a start: start, nodes, confidence, last. As in
+    """The paths that a trace down from each start (id) gives, `most` for a start: start, nodes, confidence, last."""
+    return trace_ranked(edges, starts, depth, most).select("start", "nodes", "confidence", F.element_at("nodes", -1).alias("last"))
+
+
+def trace_ranked(edges: DataFrame, starts: DataFrame, depth: int = DEPTH, most: int = MAX_PATHS) -> DataFrame:
+    """The same with rank, which sorts a start's paths in depth-first order: start, rank, nodes, confidence. As in
     _walk, paths are in depth-first order and each level keeps the first `most`, which later ones cannot come before."""
     e = durable(edges.select("from_id", F.col("to_id").alias("to"), "kind", F.col("confidence").alias("ec")))
     mark = F.lit("\x01")
@@ -162,7 +167,7 @@ def trace_all(edges: DataFrame, starts: DataFrame, depth: int = DEPTH, most: int
         level = durable(both.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= most).drop("_rn"))
         if level.where("open").isEmpty():
             break
-    return level.select("start", "nodes", "confidence", F.element_at("nodes", -1).alias("last"))
+    return level.select("start", "rank", "nodes", "confidence")
 
 
 def best_path_per_start(paths: DataFrame, entities: DataFrame) -> DataFrame:
@@ -173,12 +178,12 @@ def best_path_per_start(paths: DataFrame, entities: DataFrame) -> DataFrame:
     return p.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("start", F.array_join("nodes", "|").alias("path"), "confidence", "store")
 
 
-def cycles(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def cycles(pairs: DataFrame) -> DataFrame:
     """(a, b) edges to strongly connected groups of two or more: member, group (least member), size. Reachability is
     doubled each round, so rounds grow with the logarithm of the longest path."""
     reach = durable(pairs.select("a", "b").distinct())
     before = reach.count()
-    for _ in range(rounds):
+    while True:
         two = reach.select("a", F.col("b").alias("_m")).join(reach.select(F.col("a").alias("_n"), "b"), F.col("_m") == F.col("_n")).select("a", "b")
         new = durable(reach.unionByName(two).distinct())
         release(reach)
@@ -192,19 +197,34 @@ def cycles(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     return least.select(F.col("a").alias("member"), "scc", "size")
 
 
-def layers(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(a, b) edges of an acyclic graph: id and layer, the length of the longest path that ends there. Each round lifts
-    the targets of the last round's nodes; raises when a cycle keeps lifting."""
+def layers(pairs: DataFrame) -> DataFrame:
+    """(a, b) edges of an acyclic graph: id and layer, the length of the longest path that ends there. Each round takes off
+    the nodes that nothing left points to and raises what they point to, so there are as many rounds as layers and each
+    edge is used once; a round that takes off nothing has met a cycle and raises."""
     e = durable(pairs.select("a", "b").distinct())
-    nodes = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
-    level = durable(nodes.join(e.select(F.col("b").alias("_b")).distinct(), F.col("id") == F.col("_b"), "left_anti").withColumn("layer", F.lit(0)))
-    out = level
-    for n in range(1, rounds + 1):
-        level = durable(e.join(level.select(F.col("id").alias("_l")), F.col("a") == F.col("_l")).select(F.col("b").alias("id")).distinct().withColumn("layer", F.lit(n)))
-        if level.isEmpty():
-            return out.groupBy("id").agg(F.max("layer").alias("layer"))
-        out = out.unionByName(level)
-    raise RuntimeError("layers need an acyclic graph")
+    left = durable(e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct())
+    out, n = None, 0
+    while not left.isEmpty():
+        held = e.select(F.col("b").alias("_b")).distinct()
+        free = durable(left.join(held, F.col("id") == F.col("_b"), "left_anti").withColumn("layer", F.lit(n)))
+        if free.isEmpty():
+            raise RuntimeError("layers need an acyclic graph")
+        out = free if out is None else out.unionByName(free)
+        gone = free.select(F.col("id").alias("_f"))
+        rest, fewer = durable(left.join(gone, F.col("id") == F.col("_f"), "left_anti")), durable(e.join(gone, F.col("a") == F.col("_f"), "left_anti"))
+        release(left)
+        release(e)
+        left, e, n = rest, fewer, n + 1
+    return pairs.sparkSession.createDataFrame([], "id string, layer int") if out is None else out
+
+
+def representative_paths(paths: DataFrame, entities: DataFrame, kinds=("DATABASE_OBJECT",)) -> DataFrame:
+    """Of each start's paths the first, in the order of rank, that meets an entity of these kinds; else the first."""
+    ends = entities.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("_e")).distinct()
+    met = paths.select("start", "rank", F.explode("nodes").alias("n")).join(ends, F.col("n") == F.col("_e"), "left_semi").groupBy(F.col("start").alias("_s")).agg(F.min("rank").alias("_r"))
+    pick = F.min(F.struct((~F.coalesce(F.col("rank") == F.col("_r"), F.lit(False))).alias("no"), "rank", "nodes", "confidence"))
+    best = paths.join(met, F.col("start") == F.col("_s"), "left").groupBy("start").agg(pick.alias("b"))
+    return best.select("start", "b.nodes", "b.confidence", (~F.col("b.no")).alias("reached"))
 
 
 def layers_small(edges: list[tuple[str, str]]) -> dict[str, int]:

@@ -485,3 +485,8 @@ def confidence_bands(spark, d):
     from .model import confidence
 
     return rel(spark, d).groupBy("kind", "status", tx.confidence_band(confidence()).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{es.SQL} SELECT from_id AS id, max(coalesce(cx, 0)) AS max_complexity FROM rel JOIN ent ON ent.id = to_id WHERE rel.kind = 'CONTAINS' AND resolved GROUP BY 1")
+def max_member_complexity(spark, d):
+    return an.max_member_complexity(ent(spark, d), rel(spark, d))

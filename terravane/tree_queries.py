@@ -391,3 +391,91 @@ def linked_references(spark, d):
     rows, edges = _rows(durable(extract(tree(spark, d, "supplier", SYSTEM))), "estate")
     links = rs.link(rs.resolve(durable(an.merge_entities(rows)[0]), durable(edges)))
     return links.where("NOT (kind = 'CALLS' AND startswith(from_id, 'java:'))").select("from_id", "kind", "to_id", "status")
+
+
+_VIEWS = [
+    ("entry point", _ENDP, "3 endpoint"), ("endpoint", _ENDP, "estate.s<<k>>.Desk<<k>>#record(Sounding<<k>>) true s<<k>>/src/Desk<<k>>.java:6"),
+    ("store", _READING, _j("Reading<<k>>") + " 0 1 false"), ("store", _LOG, _j("Log<<k>>") + " 1 0 true"), ("store", "sql:table:audit<<k>>", "- 1 0 false"), ("store", "sql:table:old<<k>>", "- 0 1 true"),
+    ("source", "ada:source:console_input", _RUN + " 0.85"),
+    ("path", _ENDP, "|".join((_ENDP, _j("Desk<<k>>#record(Sounding<<k>>)"), _ENTER, _AS, _j("Reading<<k>>"), _READING)) + " 0.9"),
+    # Calls that an invocation of the same pair covers are not shown beside it.
+    *(("callee", a, f"{k} {b}") for a, k, b, *_, s in RULE_EDGES if k == "INVOKES" and s != "UNRESOLVED"), ("callee", _ENTER, f"INVOKES {_j('Logs<<k>>#findLast()')}"),
+]
+_VIEWS = list(dict.fromkeys(_VIEWS))
+
+
+@query(" UNION ALL ".join(f"SELECT '{v}' AS what, {sql('supplier', i)} AS id, {sql('supplier', f)} AS fact FROM supplier" for v, i, f in _VIEWS))
+def system_views(spark, d):
+    """Entry points, endpoints, stores, sources, the endpoints' representative paths and callees of every system. Java names have a bearer
+    in each system, so the linker leaves them open where there are more than eight suppliers."""
+    from . import workflows as wf
+    from .api import Api
+    from .model import CALL_KINDS
+    from .operators import graph as gr
+    from .operators import neighbors as nb
+
+    m = model(spark, d)
+    api = Api.of(m)
+    row = lambda df, what, id_, *fact: df.select(F.lit(what).alias("what"), F.col(id_).alias("id"), F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in fact)).alias("fact"))
+    ends = m.entities.where("kind = 'ENDPOINT'").select("id")
+    paths = gr.representative_paths(gr.trace_ranked(gr.lineage_edges(m.relationships), ends), m.entities).withColumn("path", F.array_join("nodes", "|"))
+    out = row(wf.entry_points(api), "entry point", "id", "sort", "how")
+    for df in (row(wf.endpoint_views(api), "endpoint", "id", "handler", "validated", "location"), row(wf.store_views(api), "store", "id", "mapped_from", "readers", "writers", "inferred"), row(wf.source_traces(api), "source", "source", "reader", "confidence"),
+               row(paths, "path", "start", "path", "confidence"), row(nb.neighbors(m.entities, m.relationships, None, CALL_KINDS, incoming=False), "callee", "entity_id", "edge_kind", "other_id")):
+        out = out.unionByName(df)
+    return out
+
+
+CROSSING = [
+    ("x<<k>>/Bridge<<k>>.java", """package estate.x<<k>>;
+class Bridge<<k>> {
+  native int step<<k>>();
+  native int other<<k>>();
+  void go() {
+    exec("main<<n>>");
+    queue.send(1);
+    new Socket();
+    drift<<k>>();
+    execute(<<n>>);
+    twice<<k>>();
+  }
+}
+"""),
+    ("x<<k>>/far<<k>>.adb", """package body Far<<k>> is
+   procedure Step_<<k>> is
+   begin
+      null;
+   end Step_<<k>>;
+   procedure Drift_<<k>> is
+   begin
+      null;
+   end Drift_<<k>>;
+   procedure Twice_<<k>> (A : Integer) is
+   begin
+      null;
+   end Twice_<<k>>;
+   procedure Twice_<<k>> (A : Boolean) is
+   begin
+      null;
+   end Twice_<<k>>;
+end Far<<k>>;
+"""),
+]
+_GO, _NAT = "java:method:estate.x<<k>>.Bridge<<k>>#go()", "java:method:estate.x<<k>>.Bridge<<k>>#"
+CROSSED = [
+    ("DIRECT_BOUNDARY", _NAT + "step<<k>>()", "ada:procedure:Far<<k>>.Step_<<k>>", "native method step<<k>>", "INFERRED"), ("UNRESOLVED_BOUNDARY", _NAT + "other<<k>>()", "", "native method other<<k>>", "UNRESOLVED"),
+    ("PROCESS_BOUNDARY", _GO, "", "exec", "UNRESOLVED"), ("MESSAGE_BOUNDARY", _GO, "", "send", "UNRESOLVED"), ("NETWORK_BOUNDARY", _GO, "", "Socket", "UNRESOLVED"), ("INFERRED_BOUNDARY", _GO, "ada:procedure:Far<<k>>.Drift_<<k>>", "drift<<k>>", "INFERRED"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{b}' AS boundary, {sql('supplier', j)} AS java_id, {sql('supplier', a)} AS ada_id, {sql('supplier', w)} AS artifact, '{s}' AS status FROM supplier" for b, j, a, w, s in CROSSED))
+def boundary_crossings(spark, d):
+    from . import onboarding as ob
+    from .api import Api
+    from .operators import analysis as an
+    from .plans.pipeline import _rows
+
+    files = durable(extract(tree(spark, d, "supplier", CROSSING)))
+    rows, edges = _rows(files, "estate")
+    api = Api(spark, durable(an.merge_entities(rows)[0]), durable(edges), files, files, "scan")
+    return ob.boundaries(api, spark.createDataFrame([], "id string"))

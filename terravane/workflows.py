@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import onboarding as ob
 from .api import Api, records
 from .model import DB_KINDS, LINEAGE_KINDS, attr, bool_attr, confidence, render
 from .operators import analysis as an
@@ -21,10 +22,6 @@ INVENTORY = {
     "modules": ("MODULE",), "packages": ("PACKAGE",), "types": ("CLASS", "INTERFACE", "ENUM", "RECORD", "TYPE", "PROTECTED_TYPE"), "behaviours": ("METHOD", "CONSTRUCTOR", "FUNCTION", "PROCEDURE"), "tasks": ("TASK",), "fields": ("FIELD",), "state": ("VARIABLE",),
     "endpoints": ("ENDPOINT",), "tables": ("DATABASE_OBJECT",), "sources": ("DATA_SOURCE",), "sinks": ("DATA_SINK",), "configurations": ("CONFIGURATION",),
 }
-#: Words that mark a boundary of each sort in a name or type.
-BOUNDARIES = {
-    "NATIVE_BOUNDARY": "native jni", "PROCESS_BOUNDARY": "processbuilder runtime.exec exec spawn", "MESSAGE_BOUNDARY": "kafka jms rabbit publisher subscriber queue topic", "NETWORK_BOUNDARY": "socket http resttemplate webclient httpclient",
-}
 
 
 # -- lineage summary
@@ -136,31 +133,6 @@ def entry_points(api: Api) -> DataFrame:
     return all_.groupBy("id").agg(F.min(F.struct("sort", "how")).alias("m")).select("id", "m.sort", "m.how")
 
 
-def boundaries(api: Api) -> DataFrame:
-    """Where the estate meets something else: id, boundary, other (for shared data and inferred names), inferred."""
-    e, r = api.entities, api.relationships
-    native = e.where(attr("nativeMethod") == "true").select("id", F.lit("NATIVE_BOUNDARY").alias("boundary"), F.lit(None).cast("string").alias("other"), F.lit(False).alias("inferred"))
-    told = r.where("kind IN ('CALLS', 'INSTANTIATES', 'REFERENCES', 'INVOKES')").select("from_id", F.lower(F.coalesce(attr("typeName"), attr("callName"), "to_id")).alias("n"))
-    parts = [native]
-    for b, marks in list(BOUNDARIES.items())[1:]:
-        hit = told.where(F.col("n").rlike("(" + "|".join(m.replace(".", "\\.") for m in marks.split()) + ")"))
-        parts.append(hit.select(F.col("from_id").alias("id"), F.lit(b).alias("boundary"), F.lit(None).cast("string").alias("other"), F.lit(False).alias("inferred")).distinct())
-    lang = e.select(F.col("id").alias("_l"), "language")
-    touch = r.where("resolved").where(F.col("kind").isin(*DB_KINDS)).join(lang, F.col("from_id") == F.col("_l"))
-    shared = touch.groupBy("to_id").agg(F.min(F.when(F.col("language") == "java", F.col("from_id"))).alias("id"), F.min(F.when(F.col("language") == "ada", F.col("from_id"))).alias("other")).where("id IS NOT NULL AND other IS NOT NULL")
-    parts.append(shared.select("id", F.lit("SHARED_DATA").alias("boundary"), "other", F.lit(False).alias("inferred")))
-    plain = lambda c: F.lower(F.replace(c, F.lit("_"), F.lit("")))
-    from .operators.resolution import unique
-
-    ada = unique(e.where("language = 'ada' AND kind IN ('PROCEDURE', 'FUNCTION')").select(plain(F.col("name")).alias("k"), "id"), "k").select(F.col("k").alias("_k"), F.col("id").alias("other"))
-    by_name = e.where("language = 'java' AND kind = 'METHOD'").where(attr("nativeMethod") == "true").select("id", plain(F.col("name")).alias("k")).join(ada, F.col("k") == F.col("_k"))
-    parts.append(by_name.select("id", F.lit("INFERRED_NAME").alias("boundary"), "other", F.lit(True).alias("inferred")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def scan_health(api: Api) -> dict:
     """FAILED without analysed files; POOR below 60 % resolved or above 25 % failed; PARTIAL with any gap; else HEALTHY."""
     s = {r["status"]: r["count"] for r in api.files.groupBy("status").count().collect()}
@@ -168,7 +140,7 @@ def scan_health(api: Api) -> dict:
     c = an.resolution_coverage(api.relationships).first()
     failed = s.get("FAILED", 0) + s.get("UNREADABLE", 0)
     state = "FAILED" if not s.get("ANALYZED") else "POOR" if c["rate"] < 60 or failed > 0.25 * max(tried, 1) else "PARTIAL" if failed or c["is_partial"] else "HEALTHY"
-    return {"state": state, "files": dict(sorted(s.items())), "resolutionRate": c["rate"]}
+    return {"state": state, "files": dict(sorted(s.items())), "resolutionRate": c["rate"], "unresolved": nb.without_twins(api.relationships).count()}
 
 
 def responsibility(kind: str, role: str | None, language: str) -> str:
@@ -185,33 +157,10 @@ def responsibility(kind: str, role: str | None, language: str) -> str:
     return {"service": "coordinates work", "validator": "checks data"}.get(role or "", "supports")
 
 
-def lineage_samples(api: Api, most: int = 5) -> list[dict]:
-    """Best path of the trace of each entry point and data source, scored; one Java and one Ada path are sure of a place
-    where there are any."""
-    sources = api.entities.where("kind = 'DATA_SOURCE'").select("id")
-    starts = entry_points(api).select("id").unionByName(sources).distinct()
-    p = durable(gr.best_path_per_start(gr.trace_all(gr.lineage_edges(api.relationships), starts), api.entities))
-    score = 10 * F.col("store").cast("int") + F.size(F.split("path", "\\|")) - 1 + F.col("confidence")
-    top = lambda x, n: records(x.orderBy(score.desc(), "start").limit(n))
-    out = [r for l in ("java", "ada") for r in top(p.where(F.col("start").startswith(f"{l}:")), 1)]
-    return out + [r for r in top(p, most) if r not in out][: max(0, most - len(out))]
-
-
-def reading_order(api: Api) -> list[dict]:
-    """Ten stages of what to read first; an entity keeps its first stage, places are numbered without gaps."""
-    e = api.entities
-    entry = entry_points(api).select("id")
-    central = an.central_score(e, api.relationships).orderBy(F.desc("score"), "id").limit(10).select("id")
-    kind = lambda *k: e.where(F.col("kind").isin(*k)).select("id")
-    role = lambda r: e.where(attr("role") == r).select("id")
-    stages = [entry, kind("MODULE"), kind("ENDPOINT"), role("controller"), role("service"), role("repository"), kind("DATABASE_OBJECT"), kind("CONFIGURATION"), central, kind("PACKAGE")]
-    rows, seen = [], set()
-    for n, s in enumerate(stages, 1):
-        for r in s.orderBy("id").limit(20).collect():
-            if r.id not in seen:
-                seen.add(r.id)
-                rows.append({"place": len(rows) + 1, "stage": n, "id": r.id})
-    return rows
+def lineage_samples(api: Api, borders: DataFrame | None = None, most: int = 5) -> list[dict]:
+    """The best paths of the traces of entry points and data sources."""
+    starts = entry_points(api).select("id").unionByName(api.entities.where("kind = 'DATA_SOURCE'").select("id")).distinct()
+    return ob.sampled_paths(api, starts, api.spark.createDataFrame([], "id string") if borders is None else borders, most)
 
 
 def risks(api: Api) -> list[dict]:
@@ -247,29 +196,47 @@ class Onboarding:
 
 
 def onboard(api: Api) -> Onboarding:
-    """Twelve stages in order; one that fails is named and the rest go on."""
-    out = Onboarding()
+    """Twelve stages in order; one that fails is named and the rest go on. What later stages ask of earlier ones is written
+    once; a stage whose basis failed fails for itself."""
+    out, held = Onboarding(), {}
+
+    def once(name, make):
+        if name not in held:
+            held[name] = make()
+        return held[name]
+
+    entries = lambda: once("entries", lambda: durable(entry_points(api)))
+    borders = lambda: once("borders", lambda: durable(ob.boundaries(api, entries().where("sort IN (1, 4) AND startswith(id, 'ada:')").select("id"))))
+    border_ids = lambda: borders().select(F.col("java_id").alias("id")).unionByName(borders().select(F.col("ada_id").alias("id"))).where("id <> ''").distinct()
+    border_rows = lambda: once("border rows", lambda: records(borders().orderBy("boundary", "java_id", "ada_id", "artifact")))
+
+    samples = lambda: once("samples", lambda: lineage_samples(api, border_ids()))
+
+    def central():
+        nodes = sorted({n for p in samples() for n in p["path"].split("|")})
+        flows = api.spark.createDataFrame([(n,) for n in nodes], "id string")
+        return once("central", lambda: records(ob.central_components(api, entries().select("id"), border_ids(), flows).orderBy(F.desc("score"), "id").limit(10)))
 
     def architecture():
-        rows = api.entities.select("id", "kind", attr("role").alias("role"), "language").where("role IS NOT NULL OR kind IN ('ENDPOINT', 'DATABASE_OBJECT', 'DATA_SOURCE', 'DATA_SINK', 'VARIABLE')").orderBy("id").limit(100).collect()
-        return [{"id": r.id, "responsibility": responsibility(r.kind, r.role, r.language)} for r in rows]
+        found = api.entities.select("id", "kind", attr("role").alias("role"), "language").where("role IS NOT NULL OR kind IN ('ENDPOINT', 'DATABASE_OBJECT', 'DATA_SOURCE', 'DATA_SINK', 'VARIABLE')")
+        rows = found.orderBy("id").limit(100).collect()
+        return {"layers": ob.layers(api), "responsibilities": [{"id": r.id, "responsibility": responsibility(r.kind, r.role, r.language)} for r in rows], "total": found.count()}
+
+    def order():
+        rows = ob.reading_order(api, entries(), border_ids()).orderBy("stage", "key", "id")
+        shown = api.limited(rows, 200, "stage", "key", "id")
+        return {"places": [{"place": n, "stage": r["stage"], "id": r["id"]} for n, r in enumerate(shown.value, 1)], "total": shown.total, "truncated": shown.truncated}
 
     def questions():
-        asked = []
-        if api.entities.where("kind = 'ENDPOINT'").limit(1).count():
-            asked.append({"expert": "API owner", "question": "Which consumers use these endpoints?"})
-        if api.entities.where("kind = 'DATABASE_OBJECT'").limit(1).count():
-            asked.append({"expert": "data owner", "question": "Who else writes to these tables?"})
-        if api.entities.where("language = 'ada'").limit(1).count():
-            asked.append({"expert": "embedded engineer", "question": "Which procedures run under timing constraints?"})
-        return asked + [{"expert": "maintainer", "question": "Which unresolved references are wired at run time?"}]
+        ends = [r.id for r in entries().where("sort = 3").orderBy("id").limit(1).collect()]
+        return ob.expert_questions(api, border_rows(), central(), samples(), ends)
 
     stages = {
         "intake": lambda: {"buildSystems": sorted(r[0] for r in api.entities.where("kind = 'MODULE'").select(attr("buildSystem")).distinct().collect()), "summary": api.get_repository_summary().value},
-        "health": lambda: scan_health(api), "inventory": lambda: records(an.inventory(api.entities, INVENTORY).orderBy("category")), "entry points": lambda: records(entry_points(api).orderBy("sort", "id")),
-        "architecture": architecture, "boundaries": lambda: records(boundaries(api).orderBy("boundary", "id")), "central components": lambda: records(an.central_score(api.entities, api.relationships).orderBy(F.desc("score"), "id").limit(10)),
-        "lineage": lambda: {"coverage": lineage_coverage(api), "samples": lineage_samples(api)}, "reading order": lambda: reading_order(api), "risks": lambda: risks(api), "expert questions": questions,
-        "summary": lambda: {"references": api.get_reference_counts().value, "dead": api.dead().count(), "facts": "every number above is counted from the tables"},
+        "health": lambda: scan_health(api), "inventory": lambda: records(an.inventory(api.entities, INVENTORY).orderBy("category")), "entry points": lambda: records(entries().orderBy("sort", "id")),
+        "architecture": architecture, "boundaries": border_rows, "central components": central, "lineage": lambda: {"coverage": lineage_coverage(api), "samples": samples()},
+        "reading order": order, "risks": lambda: risks(api), "expert questions": questions,
+        "summary": lambda: {**ob.final_summary(out.stages), "references": api.get_reference_counts().value, "dead": api.dead().count()},
     }
     for name, stage in stages.items():
         try:
