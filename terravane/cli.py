@@ -1,4 +1,4 @@
-"""terravane scan|lineage|tool|orient|summarize|investigate|graph|onboard."""
+"""terravane scan|lineage|tool|orient|summarize|investigate|graph|onboard|serve."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from .session import local_session
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="terravane")
-    p.add_argument("command", choices=("scan", "lineage", "tool", "orient", "summarize", "investigate", "graph", "onboard"))
+    p.add_argument("command", choices=("scan", "lineage", "tool", "orient", "summarize", "investigate", "graph", "onboard", "serve"))
     p.add_argument("args", nargs="*", help="scan ROOT; lineage START; tool OPERATION [ARGUMENT]; summarize|investigate ID; graph dependency|call|dead-code|architecture")
     p.add_argument("--index", required=True, help="folder of the store")
     p.add_argument("--out", help="folder for reports")
@@ -19,6 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--inferred", action="store_true")
     p.add_argument("--format", choices=("json", "dot", "svg"), default="json")
     p.add_argument("--hardened", action="store_true")
+    p.add_argument("--port", type=int, default=8765, help="of serve, on 127.0.0.1")
     a = p.parse_args(argv)
     from . import reports, workflows
     from .api import OPERATIONS, Api
@@ -52,6 +53,15 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "graph":
         g = reports.graph(api, a.args[0] if a.args else "dependency")
         print({"json": reports.to_json, "dot": reports.dot, "svg": reports.svg}[a.format](g))
+    elif a.command == "serve":
+        from .explorer import serve
+
+        with serve(api, a.port) as server:
+            print(f"http://127.0.0.1:{server.server_address[1]}/", flush=True)
+            try:
+                server.serve_forever()
+            except KeyboardInterrupt:
+                pass
     elif a.command == "onboard":
         o = workflows.onboard(api)
         if a.out:

@@ -47,9 +47,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temp folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset on a local master (tests) a temp
+    folder. On a cluster executors cannot see the driver's temp folders, so there it must be set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="terravane-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -7,6 +7,7 @@ size. The built-in binary source is not used: it hides names that begin with a d
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import time
 from dataclasses import dataclass, field
@@ -25,6 +26,7 @@ from .facts import Facts, registry
 #: Directories that are not scanned, and the limits of a scan.
 EXCLUDED = (".git", ".svn", ".hg", "target", "build", "out", "dist", "node_modules", "bin", "obj", ".idea", ".vscode", ".gradle", ".mvn")
 MIB, GIB = 1 << 20, 1 << 30
+PART_BYTES = 128 * MIB
 
 
 @dataclass(frozen=True)
@@ -81,13 +83,14 @@ class TreeReader(DataSourceReader):
         self.parts = int(options.get("partitions", "8"))
 
     def partitions(self):
-        """Files dealt so that parts hold about the same number of bytes."""
-        parts: list[list] = [[] for _ in range(self.parts)]
-        load = [0] * self.parts
-        for f in sorted(walk(self.root, self.limits), key=lambda f: -f[2]):
-            i = load.index(min(load))
+        """Files dealt so that parts hold about the same number of bytes: `partitions` parts, more where those would be above PART_BYTES."""
+        files = sorted(walk(self.root, self.limits), key=lambda f: -f[2])
+        parts: list[list] = [[] for _ in range(max(self.parts, -(-sum(f[2] + 4096 for f in files) // PART_BYTES)))]
+        load = [(0, i) for i in range(len(parts))]  # a heap: the lightest part comes first
+        for f in files:
+            n, i = load[0]
             parts[i].append(f)
-            load[i] += f[2] + 4096
+            heapq.heapreplace(load, (n + f[2] + 4096, i))
         return [TreePartition(sorted(p)) for p in parts if p] or [TreePartition([])]
 
     def read(self, partition):
@@ -113,8 +116,10 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, hardened: bool = False, partitions: int = 8) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, hardened: bool = False, partitions: int | None = None) -> DataFrame:
+    """At least as many parts as the cluster runs tasks at once, unless told otherwise."""
     ship(spark)
+    partitions = partitions or spark.sparkContext.defaultParallelism
     spark.dataSource.register(TreeSource)
     return spark.read.format("source_tree").option("hardened", str(hardened).lower()).option("partitions", str(partitions)).load(root)
 
