@@ -141,12 +141,12 @@ class Api:
         seeds = self.spark.createDataFrame([(r["other_id"],) for r in direct.value], "id string")
         far = gr.dependents(self.relationships, id_, seeds, depth)
         indirect = self.limited(far.join(nb.view(self.entities), "id"), most, "id")
-        data = records(nb.co_touch(self.relationships, id_).orderBy("from_id"))
+        data = self.limited(nb.co_touch(self.relationships, id_), most, "from_id", "to_id", "kind")
         lineage = self.trace_data_lineage(id_).value["nodes"]
         name = self.get_entity(id_).value["name"]
         risks = records(nb.risk_references(self.relationships, name).orderBy("from_id").limit(most))
-        value = {"id": id_, "direct": direct.value, "indirect": indirect.value, "database": data, "lineage": [x for x in lineage if x != id_][:most], "risks": risks}
-        return Result(self.scan_id, value, indirect.truncated, note="reflection, wiring and dynamic paths may add impact that is not seen here")
+        value = {"id": id_, "direct": direct.value, "indirect": indirect.value, "database": data.value, "lineage": [x for x in lineage if x != id_][:most], "risks": risks}
+        return Result(self.scan_id, value, indirect.truncated or data.truncated, note="reflection, wiring and dynamic paths may add impact that is not seen here")
 
     # -- analyses, computed once a session
 

@@ -69,7 +69,12 @@ def source_traces(api: Api) -> DataFrame:
 
 
 def orient(api: Api) -> list[tuple[str, object]]:
-    """Eight fixed questions and their answers, each from the tables."""
+    """Eight fixed questions and their answers, each from the tables; lists say how much they leave out."""
+
+    def some(df, *order):
+        r = api.limited(df, 20, *order)
+        return {"first": r.value, "total": r.total, "truncated": r.truncated}
+
     s = api.get_repository_summary().value
     members = nb.fan(api.entities, api.relationships, False, ("CONTAINS",))
     modules = members.join(api.entities.where("kind IN ('MODULE', 'PACKAGE')").select("id"), "id", "left_semi").orderBy(F.desc("n"), "id").limit(10)
@@ -77,8 +82,8 @@ def orient(api: Api) -> list[tuple[str, object]]:
     return [
         ("What is in the repository?", {k: s[k] for k in ("files", "total_lines", "code_lines", "languages")}),
         ("Which modules are largest?", records(modules)),
-        ("Where does it start?", records(entry_points(api).orderBy("sort", "id").limit(20))),
-        ("What does it store?", records(store_views(api).orderBy("id").limit(20))),
+        ("Where does it start?", some(entry_points(api), "sort", "id")),
+        ("What does it store?", some(store_views(api), "id")),
         ("What depends on what?", records(an.package_coupling(api.entities, api.relationships).orderBy(F.desc(F.col("dependencies") + F.col("dependents")), "package").limit(10))),
         ("What is most central?", records(central)),
         ("What is complex?", api.get_complexity(10).value),
@@ -96,13 +101,21 @@ def best_origin(paths: list[dict], kinds: dict[str, str]) -> dict | None:
 
 
 def investigate(api: Api, id_: str) -> dict:
+    """Where an entity's data comes from and goes: its overview, the best origin, transformers, stores and consumers, each with
+    its place, the edges of the shown paths with their rules, and a confidence, the lowest of the paths shown (None without)."""
     up, down = api.trace_data_lineage(id_, "up"), api.trace_data_lineage(id_, "down")
-    ids = sorted({*up.value["nodes"], *down.value["nodes"]})
-    info = {r.id: r for r in api.entities.where(F.col("id").isin(ids)).select("id", "kind", attr("transformation").alias("t")).collect()}
+    paths = up.value["paths"] + down.value["paths"]
+    ids = sorted({*up.value["nodes"], *down.value["nodes"]})  # at most 100 paths of nine nodes each way
+    info = {r.id: r for r in api.entities.where(F.col("id").isin(ids)).select("id", "kind", attr("transformation").alias("t"), render(F.col("loc")).alias("location")).collect()}
     kinds = {k: v.kind for k, v in info.items()}
+    steps = {(a, b) for p in paths for a, b in zip(p["nodes"], p["nodes"][1:])} | {(b, a) for p in up.value["paths"] for a, b in zip(p["nodes"], p["nodes"][1:])}
+    pairs = api.spark.createDataFrame(sorted(steps), "_f string, _t string")
+    edges = api.relationships.where(F.col("kind").isin(*LINEAGE_KINDS)).join(F.broadcast(pairs), (F.col("from_id") == F.col("_f")) & (F.col("to_id") == F.col("_t")), "left_semi")
+    evidence = records(edges.select("from_id", "to_id", "kind", "status", attr("ruleId").alias("rule"), confidence().alias("confidence"), render(F.col("loc")).alias("location")).distinct().orderBy("from_id", "to_id", "kind", "rule"))
     return {
         "overview": api.get_entity(id_).value, "origin": best_origin(up.value["paths"], kinds), "transformers": [x for x in ids if x in info and info[x].t == "true"],
         "storage": [x for x in ids if kinds.get(x) in ("DATABASE_OBJECT", "VARIABLE", "DATA_SINK")], "consumers": sorted({p["nodes"][-1] for p in down.value["paths"]}), "unresolved": up.value["gaps"] + down.value["gaps"], "truncated": up.truncated or down.truncated,
+        "places": {x: info[x].location for x in ids if x in info}, "evidence": evidence, "confidence": min((p["confidence"] for p in paths), default=None),
     }
 
 
@@ -113,7 +126,11 @@ def summarize(api: Api, id_: str) -> dict:
     dead = api.dead().where(F.col("id") == id_).select("confidence").collect()
     parts = {"entity": e, "callers": api.get_callers(id_, 10).value, "callees": api.get_callees(id_, 10).value, "dead": dead[0][0] if dead else None}
     if e["kind"] not in ("METHOD", "FUNCTION", "PROCEDURE", "CONSTRUCTOR"):
+        inside = nb.neighbors(api.entities, api.relationships, id_, ("CONTAINS",), incoming=False)
+        worst = an.max_member_complexity(api.entities, api.relationships.where(F.col("from_id") == id_)).first()
         parts |= {"members": api.get_members(id_, 20).value, "dependents": api.get_dependents(id_, 10).value, "dependencies": api.get_dependencies(id_, 10).value}
+        parts |= {"memberKinds": {r.other_kind: r["count"] for r in inside.groupBy("other_kind").count().orderBy("other_kind").collect()}, "maxComplexity": worst.max_complexity if worst else None}
+        parts |= {"stores": records(nb.database_references(api.entities, api.relationships, id_).orderBy("table_id", "kind").limit(20)), "unresolved": api.limited(nb.unresolved_references(api.relationships.where(F.col("from_id") == id_)), 10, "target", "kind").value}
     return parts
 
 
@@ -165,8 +182,11 @@ def lineage_samples(api: Api, borders: DataFrame | None = None, most: int = 5) -
 
 def risks(api: Api) -> list[dict]:
     out = [{"risk": "repository problem", "what": d["message"]} for d in api.get_diagnostics().value]
-    lost = nb.without_twins(api.relationships).where("kind = 'INVOKES'").select(F.substring_index("to_id", "#", 1).alias("t")).distinct().orderBy("t").limit(20)
-    out += [{"risk": "external dependency", "what": f"{r.t} is not in the repository"} for r in lost.collect()]
+    lost = nb.without_twins(api.relationships).where("kind = 'INVOKES'").select(F.substring_index("to_id", "#", 1).alias("t")).distinct()
+    lost = api.limited(lost, 0, "t")
+    out += [{"risk": "external dependency", "what": f"{r['t']} is not in the repository"} for r in lost.value]
+    if lost.truncated:
+        out.append({"risk": "external dependency", "what": f"and {lost.total - len(lost.value)} more that are not in the repository"})
     out += [{"risk": "architectural", "what": f"{r.package} is coupled with many packages"} for r in an.package_coupling(api.entities, api.relationships).where("risk = 'HIGH'").orderBy("package").collect()]
     return [*out, {"risk": "limitation", "what": "reflection and run-time wiring are not seen"}]
 
