@@ -7,12 +7,14 @@ of epoch e holds block perm(e, j), a keyed pseudorandom permutation of the sourc
 joined on (source, index). Everything is a function of the data and SEED, so reruns agree.
 
 Sizes: the plan (counts for each shard and source) has at most MAX_SHARDS rows a source; slots and blocks are rows of
-distributed tables. A source with a third of all rows is summed in ranges: each range numbers its own rows, and only
-the ranges' totals are summed across.
+distributed tables, and the driver holds one row a source. A source with a third of all rows is summed in ranges: each
+range numbers its own rows, and only the ranges' totals are summed across.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -70,20 +72,27 @@ def permute(j: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def plan_shards(slots: list[int], seed: int = SEED) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """Shard length and rows (shard, source, first slot of the source, count)."""
-    left = np.array(slots, dtype=np.int64)
-    size = max(SHARD, -(-int(left.sum()) // MAX_SHARDS))
-    rng, rows, used, shard = np.random.default_rng(seed), [], np.zeros_like(left), 0
+def shard_size(slots: list[int]) -> int:
+    return max(SHARD, -(-sum(slots) // MAX_SHARDS))
+
+
+def draws(slots: list[int], seed: int = SEED):
+    """For each shard its rows (shard, source, first slot of the source, count)."""
+    left, size = np.array(slots, dtype=np.int64), shard_size(slots)
+    rng, used, shard = np.random.default_rng(seed), np.zeros_like(left), 0
     while left.sum() > 0:
         k = min(size, int(left.sum()))
         got = np.zeros_like(left)
         while (need := k - int(got.sum())) > 0:  # draws beyond what a source has left are drawn again
             rest = left - got
             got += np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-        rows += [(shard, int(s), int(used[s]), int(got[s])) for s in np.flatnonzero(got)]
+        yield [(shard, int(s), int(used[s]), int(got[s])) for s in np.flatnonzero(got)]
         used, left, shard = used + got, left - got, shard + 1
-    return size, rows
+
+
+def plan_shards(slots: list[int], seed: int = SEED) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Shard length and the rows of all shards."""
+    return shard_size(slots), [r for rows in draws(slots, seed) for r in rows]
 
 
 def row_key(id_col: str, text_col: str, source_col: str):
@@ -117,8 +126,15 @@ class Mix:
         self.sized = d.select("id", "source", "th", "th2", "size", "src", "source_size", "target", "width", (F.col("base") + F.col("upto") - F.col("size")).alias("at"))
         blocks_of = [(-(-n // width) if n else 0) for _, _, n, _, width in self.sources]
         slots = [min(int(cap * b), round(t * b / n)) if n else 0 for (_, _, n, t, _), b in zip(self.sources, blocks_of)]
-        self.shard_size, rows = plan_shards(slots, seed)
-        self.plan = spark.createDataFrame([(*r, blocks_of[r[1]]) for r in rows], "shard int, src int, first long, n long, blocks long")
+        self.shard_size = shard_size(slots)
+
+        def draw(frames):
+            for _ in frames:
+                for some in itertools.batched(draws(slots, seed), 256):
+                    yield pd.DataFrame([(*r, blocks_of[r[1]]) for rows in some for r in rows], columns=["shard", "src", "first", "n", "blocks"])
+
+        # Drawn in one task of an executor: MAX_SHARDS rows a source would be the driver's.
+        self.plan = spark.range(0, 1, 1, 1).mapInPandas(draw, "shard int, src int, first long, n long, blocks long")
 
     def slots(self) -> DataFrame:
         """shard, src, slot (number within the source), block, epoch."""
@@ -144,7 +160,8 @@ class Mix:
         lo = F.greatest(F.col("at"), F.col("block") * F.col("width"))
         hi = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("width"))
         b = b.select("src", "block", "at", "id", (lo - F.col("at")).alias("first"), (hi - lo).alias("n"))
-        return self.slots().join(b, ["src", "block"])
+        # Spark takes the slots, thousands to a row of the plan, to be as large as the plan and would broadcast them.
+        return self.slots().hint("merge").join(b, ["src", "block"])
 
     def taken(self) -> DataFrame:
         """sized with taken, the words the mix takes of each document, repeats counted."""
