@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable, ship
+from .common import give_back
 
 BLOCK, SHARD, MAX_SHARDS, SEED = 32, 4096, 4096, 20240607
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
@@ -141,6 +142,7 @@ class Mix:
         seed = SEED
 
         def fill(frames):
+            give_back()  # what other stages left in this worker
             for f in frames:
                 for r in f.itertuples():
                     for a in range(0, r.n, 1 << 17):
@@ -202,7 +204,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import pyarrow as pa
 
         word = re.compile("[^ \t\n\x0b\f\r]+")
-        for b in batches:
+        give_back()
+        for b in (whole.slice(k, 64) for whole in batches for k in range(0, whole.num_rows, 64)):
             texts = b.column(at).to_pylist()
             for i, (size, pieces) in enumerate(zip(b.column("_size").to_pylist(), b.column("_pieces").to_pylist())):
                 if not size:
