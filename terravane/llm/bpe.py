@@ -2,11 +2,12 @@
 
 Encoding. The merges are compiled into a finite-state transducer that reads bytes and emits tokens. After any prefix of
 a piece, the encoding of that prefix ends in one token, which the last token before it must tolerate: two adjacent
-tokens are valid when no merge across their border comes before the merges that formed them. So a state holds the last
-token emitted and, for the bytes not yet covered, the last token at each position. A byte adds a position; what every
-continuation agrees on is emitted. Only starts from which the vocabulary has a longer token can still matter, so the
-lookahead is bounded by the longest token. States and arcs are made when first met and dropped when their number
-reaches a bound. A piece seen before is answered from a bounded memo of the transducer's own outputs.
+tokens are valid when no merge across their border comes before the merges that formed them. So a state holds, for each
+position at which a later token may still begin, the token that ends there and the tokens up to it that are not yet
+emitted. A byte adds a position; what every continuation agrees on is emitted. Only positions from which the vocabulary
+has a longer token that fits there can still matter, so the lookahead is bounded by the longest token, and tokens that
+tolerate the same of those longer tokens count as one. States and arcs are made when first met and dropped when their
+number reaches a bound. A piece seen before is answered from a bounded memo of the transducer's own outputs.
 
 Decoding streams: tokens go through an incremental UTF-8 state machine, a table of eight states, that holds back at most
 three bytes of an unfinished character and replaces malformed ones; its way over a token is kept, so that most tokens
@@ -27,7 +28,9 @@ from ..session import ship
 from .common import give_back
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STATES, PIECES, PAIRS = 150_000, 700_000, 400_000  # bounds of the states, of the memo and of the tested pairs in one worker
+STATES, PIECES, PAIRS = 100_000, 700_000, 400_000  # bounds of the states, of the memo and of the decoder's pairs in one worker
+STANDS, BARS = 150_000, 10_000  # and of the tokens found alike and of those whose bars are kept
+LONGER = 32  # up to so many tokens with one beginning, states behind tokens that tolerate the same of them are one state
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,43 +46,40 @@ def pack(ids) -> bytes:
 class State(dict):
     """Byte to (next state, packed ids emitted on the way). An arc is made when first followed.
 
-    alive: the positions in pending at which a later token may still begin, its end included.
+    alive: the positions in pending at which a later token may still begin, its end included. For each of them, before is
+    the token that ends there, or one alike, and owed the packed ids up to it that are not emitted. The first is 0.
     """
 
-    __slots__ = ("fst", "last", "pending", "ends", "alive", "tail")
+    __slots__ = ("fst", "pending", "alive", "before", "owed")
 
-    def __init__(self, fst: Transducer, last: int, pending: bytes, ends: tuple[int, ...], alive: tuple[int, ...]):
+    def __init__(self, fst: Transducer, pending: bytes, alive: tuple[int, ...], before: tuple[int, ...], owed: tuple[bytes, ...]):
         super().__init__()
-        self.fst, self.last, self.pending, self.ends, self.alive = fst, last, pending, ends, alive
-        self.tail: bytes | None = None
+        self.fst, self.pending, self.alive, self.before, self.owed = fst, pending, alive, before, owed
 
     def __missing__(self, byte: int) -> tuple[State, bytes]:
-        fst, last = self.fst, self.last
-        w, ends = self.pending + bytes((byte,)), self.ends
-        n = len(w)
-        for s in self.alive:  # exactly one of the tokens that end here fits what stands before it
-            t = fst.ranks.get(w[s:])
-            if t is not None:
-                before = ends[s - 1] if s else last
-                if before < 0 or fst.valid(before, t):
-                    break
-        ends = (*ends, t)
-        alive = [s for s in self.alive if w[s:] in fst.prefixes]
-        alive.append(n)
-        # What all live starts agree on is emitted: walk back from the furthest until one border is left.
-        borders, size = set(alive), fst.size
-        while len(borders) > 1:
-            far = max(borders)
-            borders.remove(far)
-            borders.add(far - size[ends[far - 1]])
-        cut = q = borders.pop()
-        out = []
-        while q > 0:
-            out.append(ends[q - 1])
-            q -= size[ends[q - 1]]
-        if cut:
-            last, w, ends, alive = out[0], w[cut:], ends[cut:], [x - cut for x in alive]
-        arc = self[byte] = (fst.state(last, w, ends, tuple(alive)), pack(out[::-1]))
+        fst, w = self.fst, self.pending + bytes((byte,))
+        alive, before, owed, end = [], [], [], None
+        for s, a, ids in zip(self.alive, self.before, self.owed):
+            x = w[s:]
+            if end is None:  # exactly one of the tokens that end here fits what stands before it
+                t = fst.ranks.get(x)
+                if t is not None and (a < 0 or fst.fitting(a, (t,))):
+                    end = (t, ids + pack((t,)))
+            a = fst.alike(a, x)
+            if a is not None:
+                alive.append(s)
+                before.append(a)
+                owed.append(ids)
+        alive.append(len(w))
+        before.append(end[0])
+        owed.append(end[1])
+        # What all live positions agree on is emitted, and what stands before the first of them is forgotten.
+        first, lo, hi, cut = alive[0], min(owed), max(owed), 0
+        while cut < len(lo) and lo[cut : cut + 4] == hi[cut : cut + 4]:
+            cut += 4
+        if first:
+            w, alive = w[first:], [x - first for x in alive]
+        arc = self[byte] = (fst.state(w, tuple(alive), tuple(before), tuple([x[cut:] for x in owed])), lo[:cut])
         return arc
 
 
@@ -89,17 +89,23 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self.size = {i: len(b) for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.prefixes: set[bytes] = set()  # proper prefixes of tokens
-        for b in ranks:
+        self.longer: dict[bytes, list[int]] = {}  # proper prefixes of tokens, each with its tokens, LONGER + 1 of them at most
+        self.joins: dict[int, dict[int, int]] = {}  # left token to right token to what both form, lowest rank first
+        for t, b in sorted(self.token.items()):
             for k in range(1, len(b)):
-                self.prefixes.add(b[:k])
+                of = self.longer.setdefault(b[:k], [])
+                if len(of) <= LONGER:
+                    of.append(t)
+                left, right = ranks.get(b[:k]), ranks.get(b[k:])
+                if left is not None and right is not None:
+                    self.joins.setdefault(left, {})[right] = t
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.spines: dict[int, list[tuple[int, float]]] = {}  # of t to the left, of ~t to the right
+        self.bars: dict[int, dict[int, int]] = {}
+        self.stands: dict[tuple[int, bytes], int | None] = {}
+        self.classes: dict[tuple, int] = {}
         self.states: dict[tuple, State] = {}
-        self.start = State(self, -1, b"", (), (0,))
+        self.start = State(self, b"", (0,), (-1,), (b"",))
 
     def half(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge forms t; None for a single byte and for what no merges form."""
@@ -120,7 +126,7 @@ class Transducer:
 
     def spine(self, t: int, right: bool) -> list[tuple[int, float]]:
         """The tokens that stand at t's border as t is formed, each with the rank at which a merge swallows it."""
-        key = (t, right)
+        key = ~t if right else t
         if key not in self.spines:
             out, until = [], float("inf")
             while True:
@@ -132,25 +138,51 @@ class Transducer:
             self.spines[key] = out
         return self.spines[key]
 
-    def valid(self, a: int, b: int) -> bool:
-        """Whether tokens a and b stay apart side by side. Equal ranks merge from the left."""
-        key = (a, b)
-        ok = self.fits.get(key)
-        if ok is None:
-            ok = True
-            for x, gone_x in self.spine(a, True):
-                for y, gone_y in self.spine(b, False):
-                    r = self.ranks.get(self.token[x] + self.token[y])
-                    if r is not None and r < gone_x and r <= gone_y:
-                        ok = False
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            self.fits[key] = ok
-        return ok
-
-    def state(self, last: int, pending: bytes, ends: tuple[int, ...], alive: tuple[int, ...]) -> State:
+    def barred(self, a: int) -> dict[int, int]:
+        """What may not stand at the border behind a, each with the lowest rank at which something of a merges with it."""
+        got = self.bars.get(a)
+        if got is None:
+            if len(self.bars) >= BARS:
+                self.bars.clear()
+            got = self.bars[a] = {}
+            for x, gone in self.spine(a, True):
+                for y, r in self.joins.get(x, {}).items():
+                    if r >= gone:
+                        break
+                    if r < got.get(y, gone):
+                        got[y] = r
+        return got
+
+    def fitting(self, a: int, tokens) -> tuple[int, ...]:
+        """Those of the tokens that stay apart from a right before them. Equal ranks merge from the left."""
+        bars, spines, out = self.barred(a), self.spines, []
+        for t in tokens:
+            for y, gone in spines.get(t) or self.spine(t, False):
+                r = bars.get(y)
+                if r is not None and r <= gone:
+                    break
+            else:
+                out.append(t)
+        return tuple(out)
+
+    def alike(self, a: int, x: bytes) -> int | None:
+        """One token for all those that tolerate behind them the same of the tokens longer than x that begin with x, as a
+        does; None where there are none. Where they are many, a stands for itself."""
+        longer = self.longer.get(x)
+        if longer is None or a < 0 or len(longer) > LONGER:
+            return None if longer is None else a
+        key = (a, x)
+        if key not in self.stands:
+            if len(self.stands) >= STANDS:
+                self.stands.clear()
+                self.classes.clear()
+            fit = self.fitting(a, longer)
+            self.stands[key] = self.classes.setdefault((x, fit), a) if fit else None
+        return self.stands[key]
+
+    def state(self, pending: bytes, alive: tuple[int, ...], before: tuple[int, ...], owed: tuple[bytes, ...]) -> State:
         """The state of this content, made when first met. At the bound all are forgotten; a walk under way goes on."""
-        key = (last, pending, ends)
+        key = (pending, alive, before, owed)
         got = self.states.get(key)
         if got is None:
             if len(self.states) >= STATES:
@@ -158,17 +190,9 @@ class Transducer:
                     x.clear()
                 self.states.clear()
                 self.start.clear()
-            got = self.states[key] = State(self, last, pending, ends, alive)
+            got = self.states[key] = State(self, *key)
         return got
 
-    def flush(self, pending: bytes, ends: tuple[int, ...]) -> bytes:
-        """What the end of the piece emits."""
-        out, q = [], len(pending)
-        while q > 0:
-            out.append(ends[q - 1])
-            q -= len(self.token[ends[q - 1]])
-        return pack(out[::-1])
-
     def encode(self, piece: bytes) -> bytes:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -178,9 +202,8 @@ class Transducer:
             state, more = state[byte]
             if more:
                 out.append(more)
-        if state.tail is None:
-            state.tail = self.flush(state.pending, state.ends)
-        return b"".join((*out, state.tail))
+        out.append(state.owed[-1])
+        return b"".join(out)
 
 
 class PieceMemo(dict):
