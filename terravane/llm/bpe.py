@@ -28,7 +28,7 @@ from ..session import ship
 from .common import give_back
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-STATES, PIECES, PAIRS = 100_000, 700_000, 400_000  # bounds of the states, of the memo and of the decoder's pairs in one worker
+STATES, PIECES, PAIRS = 100_000, 200_000, 400_000  # bounds of the states, of the memo and of the decoder's pairs in one worker
 STANDS, BARS = 150_000, 10_000  # and of the tokens found alike and of those whose bars are kept
 LONGER = 32  # up to so many tokens with one beginning, states behind tokens that tolerate the same of them are one state
 
@@ -399,6 +399,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 z.append(digest)
                 same.append(whole)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(a, pa.string()), pa.array(z, pa.string()), pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
+        c.memo.clear()  # a kept worker holds no more than the transducer while other stages run
         give_back()
 
     d = docs.select(id_col, text_col)
