@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
-from .common import give_back
+from .common import KEPT, give_back
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 STATES, PIECES, PAIRS = 100_000, 200_000, 400_000  # bounds of the states, of the memo and of the decoder's pairs in one worker
 STANDS, BARS = 150_000, 10_000  # and of the tokens found alike and of those whose bars are kept
+ROWS = 256  # rows encoded at a time
 LONGER = 32  # up to so many tokens with one beginning, states behind tokens that tolerate the same of them are one state
 
 
@@ -364,8 +365,17 @@ class Codec:
 
 @lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
-    """One for a Python worker. Its many small long-lived dicts make frequent full collections costly."""
+    """One for a Python worker, until another operator's task runs there. Its many small long-lived dicts make frequent full
+    collections costly."""
+    usual = gc.get_threshold()
+
+    def drop():
+        codec.cache_clear()
+        gc.set_threshold(*usual)
+        gc.collect()  # states and transducer hold one another
+
     gc.set_threshold(200_000, 50, 100)
+    KEPT.setdefault("bpe", drop)
     return Codec(path, pattern)
 
 
@@ -387,8 +397,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     import numpy as np
 
     def run(batches):
+        give_back("bpe")
         c = codec(path, pat)
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             n, lists, a, z, same = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 packed = c.encode(t)
@@ -399,8 +410,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 z.append(digest)
                 same.append(whole)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int32())), pa.array(a, pa.string()), pa.array(z, pa.string()), pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip"])
-        c.memo.clear()  # a kept worker holds no more than the transducer while other stages run
-        give_back()
+        c.memo.clear()
+        give_back("bpe")
 
     d = docs.select(id_col, text_col)
     kind = d.schema[id_col].dataType.simpleString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,12 +91,19 @@ def hash_words(text: str | None) -> np.ndarray:
     return h
 
 
-def give_back() -> None:
-    """Return freed memory to the system: Python workers are kept between stages, and what they hold counts."""
+#: What an operator holds in a Python worker from task to task: its name, and what lets go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back(keep: str | None = None) -> None:
+    """Return freed memory to the system: Python workers are kept between stages, and what they hold counts. What operators
+    other than `keep` hold from task to task is let go of first."""
     import ctypes
 
     import pyarrow as pa
 
+    for name in [k for k in KEPT if k != keep]:
+        KEPT.pop(name)()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -151,6 +151,7 @@ def _published(docs: DataFrame, ranges: int) -> DataFrame:
     top = (1 << 64) // ranges + 1
 
     def run(batches):
+        give_back()
         seen: set[int] = set()
         for b in batches:
             all_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()

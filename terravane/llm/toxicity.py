@@ -235,6 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ship(spark)
 
     def distinct_units(batches):
+        give_back()
         for b in batches:
             units = [sorted(bounded(set(units_of(t)))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(units, pa.list_(pa.string()))], names=["id", "toxic", "units"])
@@ -280,6 +281,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     ship(docs.sparkSession)
 
     def run(batches):
+        give_back()
         scores = scorer(model)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1).to_pylist()), pa.float64())], names=[id_col, "score"])
@@ -296,6 +298,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches):
+        give_back()
         scores = scorer(model)
         for b in batches:
             yield b.filter(pa.array([p < 0.5 for p in scores(b.column(at).to_pylist())], pa.bool_()))
